@@ -76,6 +76,7 @@ class WordBPE:
         self._spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self._pairs: dict[int, bool] = {}
         self._sound: dict[int, bool] = {}
+        self._known = Cache(self._encode_apart)
         self._build_suffixes()
 
     def _build_suffixes(self) -> None:
@@ -224,9 +225,10 @@ class WordBPE:
         return out
 
     def encode_chunks(self, chunks: list[str]) -> dict[str, list[int]]:
-        """Ids of pieces of text without white space; the words of all pieces share one trie."""
+        """Ids of pieces of text without white space; the words of all pieces that were not met lately share one trie."""
         parts: dict[str, list] = {}
         words: set[str] = set()
+        known = self._known
         for chunk in chunks:
             found: list = []
             for piece in self._special.split(chunk) if "<|" in chunk and self._special else [chunk]:
@@ -237,14 +239,18 @@ class WordBPE:
                     found += own
                     words.update(own)
             parts[chunk] = found
+        known.fill(words)
+        ids = known.young
+        return {chunk: ids[found[0]] if len(found) == 1 and found[0].__class__ is str else [x for p in found for x in ((p,) if p.__class__ is int else ids[p])] for chunk, found in parts.items()}
+
+    def _encode_apart(self, words: list[str]) -> dict[str, list[int]]:
         pausing = gc.isenabled()
         gc.disable()  # the walk makes many containers and no cycles
         try:
-            ids = self.encode_words(list(words))
+            return self.encode_words(words)
         finally:
             if pausing:
                 gc.enable()
-        return {chunk: [x for p in found for x in ((p,) if p.__class__ is int else ids[p])] for chunk, found in parts.items()}
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder, so the library joins the tokens' names by spaces."""
@@ -296,17 +302,32 @@ def _texts_cache(path: str) -> Cache:
     return _CACHES.setdefault(("texts", path), Cache(make))
 
 
-def groups_of(texts: list[str], most: int = 4_000_000) -> Iterator[list[list[str]]]:
-    """Pieces of each text, for runs of texts of about so many characters; a longer text is a run of its own."""
-    run, size = [], 0
+def resolved(texts: Iterator[str], cache: Cache, most: int = 6_000_000) -> Iterator[list]:
+    """For each text, what its pieces become. Pieces not in the cache are made together, for about so many characters."""
+    run: list[tuple[list[str] | None, list]] = []
+    missing: set[str] = set()
+    size = 0
+
+    def flush() -> Iterator[list]:
+        cache.fill(missing)
+        get = cache.young.get
+        for chunks, values in run:
+            yield values if chunks is None else [get(c) if v is None else v for c, v in zip(chunks, values)]
+
     for t in texts:
         if run and size + len(t) > most:
-            yield run
-            run, size = [], 0
-        run.append(pieces(t))
+            yield from flush()
+            run, missing, size = [], set(), 0
+        chunks = pieces(t)
+        values = list(map(cache.young.get, chunks))
+        if None in values:
+            missing.update([c for c, v in zip(chunks, values) if v is None])
+            run.append((chunks, values))
+        else:
+            run.append((None, values))
         size += len(t)
     if run:
-        yield run
+        yield from flush()
 
 
 def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None, keep_text: bool = True) -> DataFrame:
@@ -319,15 +340,11 @@ def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
         cache = _texts_cache(path)
         for b in batches:
             n, ids, back = [], [], []
-            for group in groups_of([x or "" for x in b.column(1).to_pylist()]):
-                cache.fill(set().union(*group))
-                get = cache.young.__getitem__
-                for chunks in group:
-                    both = list(map(get, chunks))
-                    i, d = " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
-                    n.append(i.count(" ") + 1 if i else 0)
-                    ids.append(i if keep_text else hashlib.sha256(i.encode()).hexdigest())
-                    back.append(d if keep_text else hashlib.sha256(d.encode()).hexdigest())
+            for both in resolved((x.as_py() or "" for x in b.column(1)), cache):
+                i, d = " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
+                n.append(i.count(" ") + 1 if i else 0)
+                ids.append(i if keep_text else hashlib.sha256(i.encode()).hexdigest())
+                back.append(d if keep_text else hashlib.sha256(d.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids", "decoded"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n_tokens long, ids string, decoded string")

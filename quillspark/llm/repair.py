@@ -13,8 +13,10 @@ within a run; a null document id comes first and is returned as null; an empty t
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Cache, _CACHES, default_vocabulary, groups_of
+from .bpe import _CACHES, _COMMON, Cache, default_vocabulary, resolved
 from .common import prepare, shared_dir
 
 SEGMENT = 1 << 20
@@ -124,25 +126,65 @@ class Segment:
         return self._expand(self.symbols[a : b + 1])[start - before : stop - before]
 
 
-@lru_cache(maxsize=2)
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Library:
+    """The tokenizers library over many pieces of text without white space."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        spec = json.load(open(path, encoding="utf-8"))
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self._words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self._ends = np.zeros(self.size, bool)
+        for name, i in spec["model"]["vocab"].items():
+            self._ends[i] = name.endswith(spec["model"]["end_of_word_suffix"])
+        self._known = Cache(self._encode_words)
+
+    def _encode_words(self, words: list[str], most: int = 500) -> dict[str, bytes]:
+        """Words between spaces: each ends with its only token of a word end."""
+        out = {}
+        lines = [words[i : i + most] for i in range(0, len(words), most)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(cuts) != len(line):
+                raise ValueError("a word without a word end")
+            data, start = ids.tobytes(), 0
+            for w, stop in zip(line, cuts.tolist()):
+                out[w] = data[start:stop]
+                start = stop
+        return out
+
+    def encode(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each piece, as little-endian 32-bit integers. Words that pieces share are encoded once."""
+        parts, words, odd = {}, set(), []
+        for c in chunks:
+            if _COMMON.fullmatch(c) and "<|" not in c:
+                found = parts[c] = self._words.findall(unicodedata.normalize("NFC", c).lower())
+                words.update(found)
+            else:
+                odd.append(c)
+        self._known.fill(words)
+        known = self._known.young
+        out = {c: known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found]) for c, found in parts.items()}
+        if odd:
+            out |= {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
+        return out
+
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+@lru_cache(maxsize=2)
+def _library(path: str) -> Library:
+    return Library(path)
 
 
 def _ids_cache(path: str) -> Cache:
     """Piece between white space -> its ids as bytes. No word of this kind of file crosses white space."""
-
-    def make(chunks: list[str]) -> dict:
-        t = _library(path)
-        return {c: np.array(e.ids, "<u4").tobytes() for i in range(0, len(chunks), 5000) for c, e in zip(chunks[i : i + 5000], t.encode_batch_fast(chunks[i : i + 5000], add_special_tokens=False))}
-
-    return _CACHES.setdefault(("ids", path), Cache(make))
+    return _CACHES.setdefault(("ids", path), Cache(_library(path).encode))
 
 
 def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, end_id: int = 1, segment: int = SEGMENT) -> str:
@@ -157,7 +199,7 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
     folder = shared_dir(spark, "token-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, first = _ids_cache(path), _library(path).get_vocab_size(with_added_tokens=True)
+        cache, first = _ids_cache(path), _library(path).size
         end, docs, parts, size, seq = np.array([end_id], "<u4").tobytes(), [], [], 0, 0
 
         def row() -> pa.RecordBatch:
@@ -167,16 +209,13 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
 
         for b in batches:
             ids = iter(b.column(0).to_pylist())
-            for group in groups_of([x or "" for x in b.column(1).to_pylist()]):
-                cache.fill(set().union(*group))
-                get = cache.young.__getitem__
-                for chunks in group:
-                    docs.append(_NULL if (d := next(ids)) is None else d)
-                    parts.append(b"".join([*map(get, chunks), end]))
-                    size += len(parts[-1]) // 4
-                    if size >= segment:
-                        yield row()
-                        docs, parts, size, seq = [], [], 0, seq + 1
+            for values in resolved((x.as_py() or "" for x in b.column(1)), cache):
+                docs.append(_NULL if (d := next(ids)) is None else d)
+                parts.append(b"".join([*values, end]))
+                size += len(parts[-1]) // 4
+                if size >= segment:
+                    yield row()
+                    docs, parts, size, seq = [], [], 0, seq + 1
         if docs:
             yield row()
 
