@@ -16,22 +16,20 @@ import gc
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 250_000
-#: White space as the normaliser sees it; str.split() would also take the separators 1C to 1F.
-_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_SEPARATORS = re.compile("[\\x1c-\\x1f]")
-#: Letters and signs whose classes and lower case no Unicode version changes.
+CACHE = 400_000
+#: Letters and signs whose classes and lower case no Unicode version changes, and that are their own NFC.
 _COMMON = re.compile("[!-~\xa1-\xac\xae-\u012f\u0132-\u017f]+")
 
 
@@ -76,7 +74,7 @@ class WordBPE:
         self._spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self._pairs: dict[int, bool] = {}
         self._sound: dict[int, bool] = {}
-        self._known = Cache(self._encode_apart)
+        self._known = Cache(self.encode_words)
         self._build_suffixes()
 
     def _build_suffixes(self) -> None:
@@ -166,11 +164,16 @@ class WordBPE:
 
     def words_of(self, chunk: str) -> list[str]:
         """The words of a piece of text without white space, as visible byte symbols."""
-        if chunk.isascii() and chunk.isprintable():
-            return self._words.findall(chunk.lower())
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk.isprintable():
+                return [chunk[:-1].lower(), chunk[-1]] if chunk[:-1].isalpha() else self._words.findall(chunk.lower())
         if _COMMON.fullmatch(chunk):
-            text = unicodedata.normalize("NFC", chunk).lower()
+            text = chunk.lower()
             s = self.symbols
+            if text.isalpha():
+                return ["".join([s[b] for b in text.encode()])]
             return ["".join([s[b] for b in w.encode()]) for w in self._words.findall(text)]
         # rarer characters: their classes depend on the Unicode version, so the library's own rules split them
         return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))]
@@ -243,27 +246,11 @@ class WordBPE:
         ids = known.young
         return {chunk: ids[found[0]] if len(found) == 1 and found[0].__class__ is str else [x for p in found for x in ((p,) if p.__class__ is int else ids[p])] for chunk, found in parts.items()}
 
-    def _encode_apart(self, words: list[str]) -> dict[str, list[int]]:
-        pausing = gc.isenabled()
-        gc.disable()  # the walk makes many containers and no cycles
-        try:
-            return self.encode_words(words)
-        finally:
-            if pausing:
-                gc.enable()
-
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder, so the library joins the tokens' names by spaces."""
         return " ".join([self.names[i] for i in ids])
 
 
-def pieces(text: str) -> list[str]:
-    """The parts between white space."""
-    if _SEPARATORS.search(text):
-        return [x for x in _SPACE.split(text) if x]
-    return text.split()
-
-
 @lru_cache(maxsize=2)
 def model(path: str) -> WordBPE:
     return WordBPE(path)
@@ -302,32 +289,25 @@ def _texts_cache(path: str) -> Cache:
     return _CACHES.setdefault(("texts", path), Cache(make))
 
 
-def resolved(texts: Iterator[str], cache: Cache, most: int = 6_000_000) -> Iterator[list]:
-    """For each text, what its pieces become. Pieces not in the cache are made together, for about so many characters."""
-    run: list[tuple[list[str] | None, list]] = []
-    missing: set[str] = set()
-    size = 0
-
-    def flush() -> Iterator[list]:
-        cache.fill(missing)
-        get = cache.young.get
-        for chunks, values in run:
-            yield values if chunks is None else [get(c) if v is None else v for c, v in zip(chunks, values)]
-
-    for t in texts:
-        if run and size + len(t) > most:
-            yield from flush()
-            run, missing, size = [], set(), 0
-        chunks = pieces(t)
-        values = list(map(cache.young.get, chunks))
-        if None in values:
-            missing.update([c for c, v in zip(chunks, values) if v is None])
-            run.append((chunks, values))
-        else:
-            run.append((None, values))
-        size += len(t)
-    if run:
-        yield from flush()
+def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[pa.Array]:
+    """Runs of texts of about so many bytes; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The texts' pieces between ASCII white space: (a code for each piece, borders of the texts, piece of each code).
+
+    Other white space stays inside pieces. A blank text is one empty piece.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
+    borders = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    flat = lists.flatten().dictionary_encode()
+    return flat.indices.to_numpy(), borders, flat.dictionary.to_pylist()
 
 
 def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None, keep_text: bool = True) -> DataFrame:
@@ -337,15 +317,24 @@ def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the caches are large and nothing here makes cycles
         cache = _texts_cache(path)
         for b in batches:
-            n, ids, back = [], [], []
-            for both in resolved((x.as_py() or "" for x in b.column(1)), cache):
-                i, d = " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
-                n.append(i.count(" ") + 1 if i else 0)
-                ids.append(i if keep_text else hashlib.sha256(i.encode()).hexdigest())
-                back.append(d if keep_text else hashlib.sha256(d.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids", "decoded"])
+            start = 0
+            for part in slices(b.column(1)):
+                codes, borders, pieces = coded(part)
+                cache.fill(set(pieces))
+                values = list(map(cache.young.__getitem__, pieces))
+                counts = np.fromiter([x[0].count(" ") + 1 if x[0] else 0 for x in values], np.int64, len(values))
+                ends = np.concatenate([[0], np.cumsum(counts[codes])])[borders]
+                out = []
+                for k in (0, 1):
+                    lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array([x[k] for x in values], pa.string()).take(pa.array(codes)))
+                    out.append(pc.binary_join(lists, " "))
+                if not keep_text:
+                    out = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c], pa.string()) for c in out]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array(np.diff(ends)), *out], ["id", "n_tokens", "ids", "decoded"])
+                start += len(part)
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n_tokens long, ids string, decoded string")
 

@@ -13,20 +13,21 @@ within a run; a null document id comes first and is returned as null; an empty t
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _CACHES, _COMMON, Cache, default_vocabulary, resolved
+from .bpe import _CACHES, _COMMON, Cache, coded, default_vocabulary, slices
 from .common import prepare, shared_dir
 
 SEGMENT = 1 << 20
@@ -34,6 +35,11 @@ ROUNDS, MOST, LEAST = 4, 4000, 12
 _NULL = -(1 << 63)
 
 
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    """16 bits of each pair code, to tell most pairs without a rule at once."""
+    return ((codes * codes.dtype.type(2654435761)) >> codes.dtype.type(codes.itemsize * 8 - 16)).astype(np.uint16)
+
+
 def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = MOST, least: int = LEAST) -> bytes:
     """The payload of ids below `first`. Each round replaces the pairs that occur most, at least `least` times."""
     wide = first + rounds * most > 1 << 16
@@ -60,9 +66,14 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = MOST
         is_left, is_right = np.zeros(size, bool), np.zeros(size, bool)
         is_left[left], is_right[right] = True, True
         at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        rule = np.searchsorted(keys, codes[at])
+        own = codes[at]
+        seen = np.zeros(1 << 16, bool)
+        seen[_mixed(keys)] = True
+        near = seen[_mixed(own)]
+        at, own = at[near], own[near]
+        rule = np.searchsorted(keys, own)
         rule[rule == len(keys)] = 0
-        real = keys[rule] == codes[at]
+        real = keys[rule] == own
         at, rule = at[real], rule[real]
         # of occurrences that overlap, each second one is taken, from the left
         n = np.arange(len(at))
@@ -165,8 +176,14 @@ class Library:
         parts, words, odd = {}, set(), []
         for c in chunks:
             if _COMMON.fullmatch(c) and "<|" not in c:
-                found = parts[c] = self._words.findall(unicodedata.normalize("NFC", c).lower())
-                words.update(found)
+                low = c.lower()
+                if low.isalpha():
+                    parts[c] = (low,)
+                elif low[:-1].isalpha():
+                    parts[c] = (low[:-1], low[-1])
+                else:
+                    parts[c] = self._words.findall(low)
+                words.update(parts[c])
             else:
                 odd.append(c)
         self._known.fill(words)
@@ -187,6 +204,25 @@ def _ids_cache(path: str) -> Cache:
     return _CACHES.setdefault(("ids", path), Cache(_library(path).encode))
 
 
+def ids_of(texts: pa.Array, cache: Cache, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, each with its end id; where each text ends)."""
+    codes, borders, pieces = coded(texts)
+    cache.fill(set(pieces))
+    values = list(map(cache.young.__getitem__, pieces))
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    source = np.frombuffer(b"".join(values), "<u4")
+    first = np.cumsum(size) - size
+    n = size[codes]
+    text = np.repeat(np.arange(len(texts)), np.diff(borders))
+    start = np.cumsum(n) - n
+    out = np.full(int(n.sum()) + len(texts), end_id, np.uint32)
+    # each piece's ids go where they stand among all ids, moved on by the end ids of the texts before
+    step = np.arange(int(n.sum()))
+    out[step + np.repeat(text, n)] = source[step + np.repeat(first[codes] - start, n)]
+    ends = np.concatenate([[0], np.cumsum(n)])[borders[1:]] + np.arange(1, len(texts) + 1)
+    return out, ends
+
+
 def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, end_id: int = 1, segment: int = SEGMENT) -> str:
     """Writes the ids of all texts in ascending id order; returns the folder.
 
@@ -199,23 +235,33 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
     folder = shared_dir(spark, "token-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the caches are large and nothing here makes cycles
         cache, first = _ids_cache(path), _library(path).size
-        end, docs, parts, size, seq = np.array([end_id], "<u4").tobytes(), [], [], 0, 0
+        docs, sizes, parts, held, seq = [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            values = [docs[0], seq, len(ids), np.array(docs, "<i8").tobytes(), np.array([len(p) // 4 for p in parts], "<u4").tobytes(), compress(ids, first)]
+            doc, size, ids = np.concatenate(docs), np.concatenate(sizes), np.concatenate(parts)
+            values = [int(doc[0]), seq, len(ids), doc.tobytes(), size.astype("<u4").tobytes(), compress(ids, first)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["first_doc", "seq", "n_ids", "docs", "sizes", "payload"])
 
         for b in batches:
-            ids = iter(b.column(0).to_pylist())
-            for values in resolved((x.as_py() or "" for x in b.column(1)), cache):
-                docs.append(_NULL if (d := next(ids)) is None else d)
-                parts.append(b"".join([*values, end]))
-                size += len(parts[-1]) // 4
-                if size >= segment:
-                    yield row()
-                    docs, parts, size, seq = [], [], 0, seq + 1
+            start = 0
+            for part in slices(b.column(1)):
+                doc = pc.fill_null(b.column(0).slice(start, len(part)), _NULL).to_numpy().astype("<i8")
+                start += len(part)
+                ids, ends = ids_of(part, cache, end_id)
+                at = 0
+                while at < len(doc):  # documents up to the one that fills the segment
+                    done = ends[at - 1] if at else 0
+                    to = min(len(doc), int(np.searchsorted(ends, done + segment - held)) + 1)
+                    docs.append(doc[at:to])
+                    sizes.append(np.diff(ends[at:to], prepend=done))
+                    parts.append(ids[done : ends[to - 1]])
+                    held += int(ends[to - 1] - done)
+                    at = to
+                    if held >= segment:
+                        yield row()
+                        docs, sizes, parts, held, seq = [], [], [], 0, seq + 1
         if docs:
             yield row()
 
