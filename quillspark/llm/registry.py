@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, repair, simhash, topk, warc
+from . import bpe, decontaminate, html, pii, quality, repair, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
+    "op2_decontamination": decontaminate.op2,
+    "op3_toxicity": toxicity.op3,
     "op4_bpe": bpe.op4,
+    "op5_personal_data": pii.op5,
+    "op6_html": html.op6,
     "op7_simhash": simhash.op7,
     "op8_token_ids": repair.op8,
+    "op9_quality": quality.op9,
     "op10_topk": topk.op10,
 }
 

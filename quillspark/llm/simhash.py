@@ -155,6 +155,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3, ra
     return marks.join(named, "fp").select("id", "fp", "component")
 
 
+def kept(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int = 3) -> DataFrame:
+    """The rows, as they are, that stand for their group: one row with the smallest id of each component."""
+    found = written(near_duplicates(df, id_col, text_col, size, radius), "components")
+    firsts = found.where("id = component").groupBy(F.col("id").alias("pivot_id")).agg(F.count("*").alias("n"))
+    firsts = written(firsts, "firsts")
+    rows = df.join(firsts.select("pivot_id"), df[id_col] == firsts.pivot_id, "left_semi")
+    if firsts.where("n > 1").limit(1).count():  # only where rows repeat an id
+        rows = rows.dropDuplicates([id_col])
+    return rows.select(*df.columns)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
