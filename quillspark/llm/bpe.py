@@ -286,7 +286,7 @@ def _texts_cache(path: str) -> Cache:
         bpe = model(path)
         return {c: (" ".join(map(str, ids)), bpe.decode(ids)) for c, ids in bpe.encode_chunks(chunks).items()}
 
-    return _CACHES.setdefault(("texts", path), Cache(make))
+    return _CACHES.setdefault(("texts", path), Cache(make, CACHE // 3))
 
 
 def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[pa.Array]:
@@ -321,7 +321,7 @@ def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
         cache = _texts_cache(path)
         for b in batches:
             start = 0
-            for part in slices(b.column(1)):
+            for part in slices(b.column(1), 8_000_000):
                 codes, borders, pieces = coded(part)
                 cache.fill(set(pieces))
                 values = list(map(cache.young.__getitem__, pieces))

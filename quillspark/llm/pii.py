@@ -70,7 +70,9 @@ def _valid(kind: int, base: bool, m: Column) -> Column:
         return F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(False)
     if kind == 3 and base:
         return F.length(_digits(m)).between(9, 15)
-    return F.lit(True)
+    if kind == 3:
+        return _digits(m).rlike("^[2-9][0-9]{2}[2-9]")
+    return m.rlike("[A-Za-z]{2,6}$") if kind == 0 and not base else F.lit(True)
 
 
 def _found(text: Column, number: int) -> Column:
@@ -211,5 +213,9 @@ def op5(spark, sf_dir: str) -> DataFrame:
     found = written(found, "candidates")
     base, every = spans(F.col("pii_found"), classifier(found))
     rows = found.select("doc_id", base.alias("base"), every.alias("every"))
-    count = [F.size(F.filter("base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+
+    def number(kind: int) -> Column:  # a lambda's second parameter would be the element's position
+        return F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    count = [number(k) for k in range(4)]
     return rows.select("doc_id", *count, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"))
