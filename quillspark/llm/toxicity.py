@@ -213,14 +213,15 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, steps: int = 60
     bucket, grams, starts = features
     ends = np.append(starts[1:], len(grams))
     first, text = windows(borders)
-    rows = _rows(codes, borders, first, text, len(pieces))
+    rows = _rows(codes, borders, first, text, len(pieces)).astype(np.int32)
     # a first guess of the worst window: log-odds of n-grams by the texts that have them, of a word's best ones
-    word_text = np.repeat(np.arange(len(texts)), np.diff(borders))
-    seen = np.unique(word_text.astype(np.int64) * len(pieces) + codes)
-    of, word = seen // len(pieces), seen % len(pieces)
-    n_of = (ends - starts)[word]
-    pair = np.unique(np.repeat(of, n_of) * GRAMS + grams[np.repeat(starts[word] - (np.cumsum(n_of) - n_of), n_of) + np.arange(n_of.sum())])
-    counts = [np.bincount(pair[labels[pair // GRAMS] == k] % GRAMS, minlength=GRAMS) for k in (0, 1)]
+    sizes = ends - starts
+    counts = [np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)]
+    for i in range(len(texts)):
+        word = np.unique(codes[borders[i] : borders[i + 1]])
+        size = sizes[word]
+        own = grams[np.repeat(starts[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        counts[int(labels[i])][np.unique(own)] += 1
     totals = [max(1, int((labels == k).sum())) for k in (0, 1)]
     odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
     odds *= np.sqrt(counts[1] + 0.0)
@@ -245,7 +246,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, steps: int = 60
             local = local.reshape(WINDOW, len(own))
             real = used[used < len(pieces)]
             local = np.where(rows[:, own] == len(pieces), len(real), local)
-            size = (ends - starts)[real]
+            size = sizes[real]
             flat = grams[np.repeat(starts[real] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             x = vectors(p, (bucket[real], flat, np.cumsum(size) - size))
             weight = np.where(y[text[own]] == 1, 2.0, 1.0)
