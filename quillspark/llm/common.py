@@ -44,6 +44,21 @@ def text_of(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def labelled_sample(texts: DataFrame, known: DataFrame, per_class: int, longest: int) -> list:
+    """Rows (i, y, t) of at most per_class labelled rows of each class 0 and 1, with texts of at most so many bytes.
+
+    texts: (i, t); known: (i, y), i once. Ids are picked first, by a hash, so that only the picked texts are sent: at most
+    2 * per_class * longest bytes.
+    """
+    fit = texts.where(F.octet_length("t") <= longest)
+    ids = fit.select("i").distinct().join(known, "i")
+    picked = [r for y in (0, 1) for r in ids.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class).collect()]
+    if not picked:
+        return []
+    chosen = texts.sparkSession.createDataFrame([(r.i, r.y) for r in picked], f"i {dict(ids.dtypes)['i']}, y int")
+    return sorted(fit.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect(), key=lambda r: (r.y, r.i))
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that end at group borders, from batches sorted by the keys. A group that spans batches is put together."""
     import numpy as np

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coded, slices
-from .common import prepare, written
+from .common import labelled_sample, prepare, written
 
 PER_CLASS, LONGEST = 2000, 20_000
 KEEP = 0.5
@@ -85,10 +85,8 @@ def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int = 40) ->
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality", per_class: int = PER_CLASS, longest: int = LONGEST) -> np.ndarray:
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).groupBy("i").agg(F.max("y").alias("y"))
-    texts = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") <= longest)
-    rows = []
-    for y in (0, 1):
-        rows += known.where(F.col("y") == y).join(texts, "i").orderBy(F.xxhash64("i"), "i", "t").limit(per_class).select("t", "y").collect()
+    texts = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows = labelled_sample(texts, known, per_class, longest)
     if not rows:
         return np.zeros(1)
     return train(features(pa.array([r.t for r in rows], pa.string())), np.array([r.y for r in rows]))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coded, slices
-from .common import prepare
+from .common import labelled_sample, prepare
 
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, WIDE, HIDDEN = 1 << 13, 1 << 15, 8, 8
@@ -64,9 +64,11 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of runs of rows; an empty run is zero."""
-    total = np.concatenate([np.zeros((1, values.shape[1]), np.float64), np.cumsum(values, 0, dtype=np.float64)])
-    ends = np.append(starts[1:], len(values))
-    return (total[ends] - total[starts]).astype(np.float32)
+    out = np.zeros((len(starts), values.shape[1]), np.float32)
+    full = np.append(starts[1:], len(values)) > starts
+    if full.any():
+        out[full] = np.add.reduceat(values, starts[full], 0)
+    return out
 
 
 def _gathered(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +96,16 @@ def init(seed: int = 7) -> dict[str, np.ndarray]:
     return p
 
 
-def vectors(p: dict, features: tuple) -> np.ndarray:
+def vectors(p: dict, features: tuple, most: int = 20_000) -> np.ndarray:
+    """Input vectors of words; so many at a time, so that their n-grams' vectors stay few."""
     bucket, grams, starts = features
-    n = np.maximum(1, np.diff(np.append(starts, len(grams))))[:, None]
-    return np.concatenate([p["words"][bucket], _sums(p["grams"][grams], starts) / np.sqrt(n)], 1).astype(np.float32)
+    ends = np.append(starts[1:], len(grams))
+    out = np.empty((len(bucket), 2 * WIDE), np.float32)
+    out[:, :WIDE] = p["words"][bucket]
+    for i in range(0, len(bucket), most):
+        a, b = starts[i : i + most], ends[i : i + most]
+        out[i : i + most, WIDE:] = _sums(p["grams"][grams[a[0] : b[-1]]], a - a[0]) / np.sqrt(np.maximum(1, b - a))[:, None]
+    return out
 
 
 def _layer(gates: np.ndarray, rows: np.ndarray, u: np.ndarray, back: bool, keep: list | None = None) -> np.ndarray:
@@ -299,10 +307,8 @@ def held_out(id_col: str):
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, longest: int = LONGEST) -> dict[str, np.ndarray]:
     """The network, trained on a bounded sample of the labelled rows that aren't held out."""
     known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).groupBy("i").agg(F.max("y").alias("y"))
-    texts = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") <= longest)
-    rows = []
-    for y in (0, 1):
-        rows += known.where(F.col("y") == y).join(texts, "i").orderBy(F.xxhash64("i"), "i", "t").limit(per_class).select("t", "y").collect()
+    texts = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows = labelled_sample(texts, known, per_class, longest)
     return train([r.t for r in rows], np.array([r.y for r in rows], np.int64))
 
 
