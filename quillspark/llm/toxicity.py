@@ -38,12 +38,24 @@ def normal(piece: str) -> bytes:
     return _EDGE.sub("", piece.lower()).encode()
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word bucket of each word; n-gram buckets of all words, one after another; where each word's n-grams begin)."""
-    bucket = np.fromiter((zlib.crc32(w) % WORDS for w in words), np.int64, len(words))
+def word_features(words: list[bytes], most: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word bucket of each word; n-gram buckets of all words, one after another; where each word's n-grams begin).
+
+    So many words at a time, so that what is computed on the way stays small.
+    """
+    bucket = np.fromiter((zlib.crc32(w) % WORDS for w in words), np.int32, len(words))
+    parts = [_grams(words[i : i + most]) for i in range(0, len(words), most)]
+    if not parts:
+        return bucket, np.zeros(0, np.int32), np.zeros(0, np.int64)
+    counts = np.concatenate([n for _, n in parts])
+    return bucket, np.concatenate([g for g, _ in parts]), np.cumsum(counts) - counts
+
+
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram buckets of all words, one after another; number of each word's n-grams)."""
     data = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    owner = np.repeat(np.arange(len(words)), size)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
     grams, owners = [], []
     for n in (3, 4, 5):
         if len(data) < n:
@@ -53,13 +65,12 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             code = code * np.uint64(0x100000001B3) ^ data[k : len(data) - n + 1 + k]
         inside = owner[: len(code)] == owner[n - 1 :]
         code *= np.uint64(0x9E3779B97F4A7C15)
-        grams.append((code >> np.uint64(49))[inside])
+        grams.append((code >> np.uint64(49))[inside].astype(np.int32))
         owners.append(owner[: len(code)][inside])
     if not grams:
-        return bucket, np.zeros(0, np.int64), np.zeros(len(words), np.int64)
-    grams, owners = np.concatenate(grams).astype(np.int64), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return bucket, grams[order], np.searchsorted(owners[order], np.arange(len(words)))
+        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+    grams, owners = np.concatenate(grams), np.concatenate(owners)
+    return grams[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -194,6 +205,14 @@ def step(p: dict, x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.nda
     return grad, dx[: len(x)], loss
 
 
+def _formed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(a code for each word, borders of the texts, form of each code); forms are distinct."""
+    codes, borders, pieces = coded(texts)
+    known: dict[bytes, int] = {}
+    to = np.fromiter((known.setdefault(normal(x), len(known)) for x in pieces), np.int32, len(pieces))
+    return to[codes], borders, list(known)
+
+
 def windows(borders: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(first word, text) of overlapping windows that cover every text; a text has one at least."""
     size = np.diff(borders)
@@ -215,13 +234,12 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, steps: int = 60
     if len(set(labels.tolist())) < 2:
         p["out"][:] = 0
         return p
-    codes, borders, pieces = coded(pa.array(texts, pa.string()))
-    forms = [normal(x) for x in pieces]
+    codes, borders, forms = _formed(pa.array(texts, pa.string()))
     features = word_features(forms)
     bucket, grams, starts = features
     ends = np.append(starts[1:], len(grams))
     first, text = windows(borders)
-    rows = _rows(codes, borders, first, text, len(pieces)).astype(np.int32)
+    rows = _rows(codes, borders, first, text, len(forms)).astype(np.int32)
     # a first guess of the worst window: log-odds of n-grams by the texts that have them, of a word's best ones
     sizes = ends - starts
     counts = [np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)]
@@ -234,7 +252,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, steps: int = 60
     odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
     odds *= np.sqrt(counts[1] + 0.0)
     p["grams"][:, 0] += np.where(counts[1] > 1, np.clip(odds / 10, -0.5, 2), 0)
-    best = np.zeros(len(pieces) + 1)
+    best = np.zeros(len(forms) + 1)
     if len(grams):
         full = ends > starts
         best[:-1][full] = np.maximum.reduceat(odds[grams], starts[full])
@@ -252,8 +270,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, steps: int = 60
             own = np.concatenate([rng.choice(x, batch // 3) for x in pools])
             used, local = np.unique(rows[:, own], return_inverse=True)
             local = local.reshape(WINDOW, len(own))
-            real = used[used < len(pieces)]
-            local = np.where(rows[:, own] == len(pieces), len(real), local)
+            real = used[used < len(forms)]
+            local = np.where(rows[:, own] == len(forms), len(real), local)
             size = sizes[real]
             flat = grams[np.repeat(starts[real] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             x = vectors(p, (bucket[real], flat, np.cumsum(size) - size))
@@ -284,11 +302,8 @@ def _window_logits(p: dict, x: np.ndarray, rows: np.ndarray, batch: int = 2048)
 
 def score_texts(p: dict, texts: pa.Array, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(score, number of windows, first word of the worst window) of each text."""
-    codes, borders, pieces = coded(texts)
-    forms, to = np.unique(np.array([normal(x) for x in pieces], object), return_inverse=True)
-    forms = forms.tolist()
+    codes, borders, forms = _formed(texts)
     gates = _gates(p, vectors(p, word_features(forms)))
-    codes = to.reshape(-1)[codes]
     first, text = windows(borders)
     logits = np.empty(len(first), np.float32)
     for i in range(0, len(first), batch):
