@@ -157,11 +157,15 @@ class WordBPE:
     def compatible(self, left: int, right: int) -> bool:
         key = left << 20 | right
         if (ok := self._pairs.get(key)) is None:
-            if len(self._pairs) > 4 * CACHE:
+            if len(self._pairs) > CACHE:
                 self._pairs.clear()
             ok = self._pairs[key] = self._border(left, right) == float("inf")
         return ok
 
+    def forget(self) -> None:
+        """Drops what was computed on the way; it is found again when needed."""
+        self._pairs.clear()
+
     def words_of(self, chunk: str) -> list[str]:
         """The words of a piece of text without white space, as visible byte symbols."""
         if chunk.isascii():
@@ -276,6 +280,10 @@ class Cache:
             young.update(self.make([c for c in missing if c not in old]))
 
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
 _CACHES: dict[tuple, Cache] = {}
 
 
@@ -319,22 +327,30 @@ def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the caches are large and nothing here makes cycles
         cache = _texts_cache(path)
-        for b in batches:
-            start = 0
-            for part in slices(b.column(1), 8_000_000):
-                codes, borders, pieces = coded(part)
-                cache.fill(set(pieces))
-                values = list(map(cache.young.__getitem__, pieces))
-                counts = np.fromiter([x[0].count(" ") + 1 if x[0] else 0 for x in values], np.int64, len(values))
-                ends = np.concatenate([[0], np.cumsum(counts[codes])])[borders]
-                out = []
-                for k in (0, 1):
-                    lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array([x[k] for x in values], pa.string()).take(pa.array(codes)))
-                    out.append(pc.binary_join(lists, " "))
-                if not keep_text:
-                    out = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c], pa.string()) for c in out]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array(np.diff(ends)), *out], ["id", "n_tokens", "ids", "decoded"])
-                start += len(part)
+        try:
+            for b in batches:
+                start = 0
+                for part in slices(b.column(1), 8_000_000):
+                    n_tokens, texts = whole(cache, part)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), n_tokens, *texts], ["id", "n_tokens", "ids", "decoded"])
+                    start += len(part)
+        finally:  # the worker goes on to other operators' tasks
+            cache.clear()
+            model(path).forget()
+            gc.enable()
+
+    def whole(cache: Cache, part: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+        codes, borders, pieces = coded(part)
+        cache.fill(set(pieces))
+        values = list(map(cache.young.__getitem__, pieces))
+        counts = np.fromiter([x[0].count(" ") + 1 if x[0] else 0 for x in values], np.int64, len(values))
+        ends = np.concatenate([[0], np.cumsum(counts[codes])])[borders]
+        out = []
+        for k in (0, 1):
+            lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array([x[k] for x in values], pa.string()).take(pa.array(codes)))
+            joined = pc.binary_join(lists, " ")
+            out.append(joined if keep_text else pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string()))
+        return pa.array(np.diff(ends)), out
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n_tokens long, ids string, decoded string")
 

@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parent.parent.parent)
 
 
+#: Lets a Python worker, which outlives its tasks, give large freed blocks back to the system.
+ALLOCATION = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4000000", "MALLOC_TRIM_THRESHOLD_": "16000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers of this session import the package (on a cluster it is also installed or shipped)."""
     env = spark.sparkContext.environment
+    for k, v in ALLOCATION.items():
+        env.setdefault(k, v)
     parts = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = ":".join([ROOT, *parts])
