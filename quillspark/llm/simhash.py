@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import by_group, connected_components, prepare, written
 
 PIVOTS = 16
@@ -155,9 +156,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3, ra
     return marks.join(named, "fp").select("id", "fp", "component")
 
 
-def kept(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int = 3) -> DataFrame:
-    """The rows, as they are, that stand for their group: one row with the smallest id of each component."""
-    found = written(near_duplicates(df, id_col, text_col, size, radius), "components")
+def kept(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int = 3, least: float | None = None) -> DataFrame:
+    """The rows, as they are, that stand for their group: one row with the smallest id of each component.
+
+    least: if given, rows link by the exact Jaccard similarity of their shingles (similar.py), not by fingerprints.
+    """
+    if least is None:
+        found = written(near_duplicates(df, id_col, text_col, size, radius), "components")
+    else:
+        marks = written(similar.marked(df, text_col, size, least), "marks")
+        rows = marks.join(similar.components(marks, size, least), "key").select(F.col(f"row.{id_col}").cast("long").alias("id"), "component")
+        named = rows.groupBy("component").agg(F.min("id").alias("first"))
+        found = written(rows.join(named, "component").select("id", F.col("first").alias("component")), "components")
     firsts = found.where("id = component").groupBy(F.col("id").alias("pivot_id")).agg(F.count("*").alias("n"))
     firsts = written(firsts, "firsts")
     rows = df.join(firsts.select("pivot_id"), df[id_col] == firsts.pivot_id, "left_semi")
