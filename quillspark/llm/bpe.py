@@ -345,6 +345,9 @@ def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
         values = list(map(cache.young.__getitem__, pieces))
         counts = np.fromiter([x[0].count(" ") + 1 if x[0] else 0 for x in values], np.int64, len(values))
         ends = np.concatenate([[0], np.cumsum(counts[codes])])[borders]
+        real = counts[codes] > 0  # a piece without tokens has no place in a join
+        if not real.all():
+            borders, codes = np.concatenate([[0], np.cumsum(real)])[borders], codes[real]
         out = []
         for k in (0, 1):
             lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array([x[k] for x in values], pa.string()).take(pa.array(codes)))

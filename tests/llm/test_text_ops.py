@@ -44,6 +44,16 @@ def test_bpe_equals_library(spark, library):
         assert r.decoded == library.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_pieces_without_tokens(spark, library):
+    lone = ["\u00a0", "\u3000", "\x85", "\u2028", "\u3000 \u00a0", "\u200b"]
+    texts = [t for x in lone for t in (f"a {x} b", f"{x} a", f"a {x}", x, f"a{x} {x}b {x} {x} c")]
+    got = bpe.encoded(documents(spark, texts), "doc_id", "text").collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        e = library.encode(texts[r.id] if r.id < len(texts) else "", add_special_tokens=False)
+        assert (r.n_tokens, r.ids, r.decoded) == (len(e.ids), " ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False))
+
+
 def test_bpe_query_digests(spark, small, library):
     got = {r.doc_id: r for r in bpe.op4(spark, small).collect()}
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
