@@ -4,11 +4,17 @@ A benchmark item is its words' shingles (five words; a shorter item is one shing
 words as the item. Each window has a SimHash over its weighted shingles; items within the Hamming radius of it are found
 by a multi-index: the 64 bits are cut into blocks, and a fingerprint within the radius agrees with the item's in some
 block up to radius // blocks bits, so a table of all block values that near gives every such item. Candidates are then
-verified by the exact weighted Jaccard similarity of the shingles; a shingle weighs 1 / (benchmark items that have it).
+verified by the exact weighted Jaccard similarity of the shingles, or by their plain one, whichever is higher; a shingle
+weighs 1 / (items of the whole benchmark that have it), a shingle that no item has weighs 1.
+
+The plain similarity counts beside the weighted one because items that share text make their own shingles light, so that
+a changed word, whose shingles weigh 1, would count for more than it is. For it, windows and items also have a SimHash
+without weights.
 
 Only windows that share a shingle with the benchmark are hashed: any other has similarity zero. Words are lower-cased
 and stripped of punctuation at their ends. The benchmark is read in blocks of at most `block` items; each block's index
-is broadcast (some 10 kB an item at most), so its size is bounded whatever the benchmark's.
+is broadcast (some 10 kB an item at most). Weights are counted once over all blocks, so results do not depend on them;
+with each block go 16 bytes for each shingle that several items of the benchmark have.
 
 Defined results: null, empty and blank texts and items match nothing; a document shorter than an item is one window;
 repeated documents and items each give their own rows; empty tables give no rows.
@@ -66,26 +72,49 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def item_shingles(text: str | None) -> tuple[np.ndarray, int, int] | None:
+    """(shingle codes, words, words of a shingle) of an item; nothing for one without words."""
+    words = [w for w in (normal(x) for x in (text or "").split()) if w]
+    if not words:
+        return None
+    size = min(SHINGLE, len(words))
+    return shingles(word_codes(words), size), len(words), size
+
+
+def shared_weights(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, weights) of the shingles that several of the items (i, t) have; all others weigh 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if own := item_shingles(t):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(own[0]).view(np.int64))], ["x"])
+
+    counts = items.select("t").mapInArrow(run, "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    return counts["x"].to_numpy().view(np.uint64), 1.0 / counts["n"].to_numpy()
+
+
 class Index:
-    """Items of one block of the benchmark, ready for documents."""
+    """Items of one block of the benchmark, ready for documents; weights are those of the whole benchmark if not of the block."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], weights: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.ids, self.sizes, self.bags = [], [], []
         own = []
         for i, text in items:
-            words = [w for w in (normal(x) for x in (text or "").split()) if w]
-            if words:
-                size = min(SHINGLE, len(words))
-                own.append(shingles(word_codes(words), size))
+            if found := item_shingles(text):
+                own.append(found[0])
                 self.ids.append(i)
-                self.sizes.append((len(words), size))
+                self.sizes.append(found[1:])
         df: dict[int, int] = defaultdict(int)
         for s in own:
             for x in set(s.tolist()):
                 df[x] += 1
         self.weight = {x: 1.0 / n for x, n in df.items()}
+        if weights is not None:
+            self.weight = dict.fromkeys(df, 1.0) | dict(zip(weights[0].tolist(), weights[1].tolist()))
         self.has: dict[int, list[int]] = defaultdict(list)
-        prints = []
+        self.light = set()  # items with shared shingles: only for them the plain similarity can be the higher one
+        prints, plain = [], []
         for k, s in enumerate(own):
             bag: dict[int, int] = defaultdict(int)
             for x in s.tolist():
@@ -95,23 +124,29 @@ class Index:
                 self.has[x].append(k)
             w = np.array([self.weight[x] for x in s.tolist()])
             prints.append(_packed((_signs(s) * w[:, None]).sum(0, keepdims=True))[0])
-        self.prints = np.array(prints, np.uint64)
-        self.keys = np.array(sorted(self.weight), np.uint64)
+            plain.append(_packed(_signs(s).sum(0, keepdims=True))[0])
+            if (w < 1).any():
+                self.light.add(k)
+        self.prints, self.plain = np.array(prints, np.uint64), np.array(plain, np.uint64)
+        self.keys = np.array(sorted(df), np.uint64)
         self.short = sorted({z for _, z in self.sizes} | {SHINGLE})
         # block -> value -> items whose block is near; the values within the block radius of each item's
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // BLOCKS
-        blocks = self.prints.astype("<u8").view(np.uint8).reshape(-1, 8)
-        self.multi = [[np.flatnonzero(near[v][blocks[:, b]]) for v in range(256)] for b in range(BLOCKS)] if len(prints) else []
+        self.multi, self.multi_plain = [], []
+        for table, of in ((self.multi, self.prints), (self.multi_plain, self.plain)):
+            blocks = of.astype("<u8").view(np.uint8).reshape(-1, 8)
+            table += [[np.flatnonzero(near[v][blocks[:, b]]) for v in range(256)] for b in range(BLOCKS)] if len(prints) else []
 
-    def candidates(self, prints: np.ndarray, wanted: set[int]) -> list[tuple[int, int]]:
+    def candidates(self, prints: np.ndarray, wanted: set[int], plain: bool = False) -> list[tuple[int, int]]:
         """(position, item) of all wanted items within the radius of the fingerprints, by the multi-index."""
         out = set()
+        multi, own = (self.multi_plain, self.plain) if plain else (self.multi, self.prints)
         for at, row in enumerate(prints.astype("<u8").view(np.uint8).reshape(-1, 8).tolist()):
             met = set()
             for b, v in enumerate(row):
-                met.update(self.multi[b][v].tolist())
+                met.update(multi[b][v].tolist())
             for k in met & wanted:
-                if int(prints[at] ^ self.prints[k]).bit_count() <= RADIUS:
+                if int(prints[at] ^ own[k]).bit_count() <= RADIUS:
                     out.add((at, k))
         return sorted(out)
 
@@ -121,7 +156,11 @@ class Index:
             bag[x] += 1
         item, w = self.bags[k], self.weight
         both = sum(min(n, item[x]) * w[x] for x, n in bag.items() if x in item)
-        return both / (sum(n * w.get(x, 1.0) for x, n in bag.items()) + sum(n * w[x] for x, n in item.items()) - both)
+        weighted = both / (sum(n * w.get(x, 1.0) for x, n in bag.items()) + sum(n * w[x] for x, n in item.items()) - both)
+        if k not in self.light:
+            return weighted
+        both = sum(min(n, item[x]) for x, n in bag.items() if x in item)
+        return max(weighted, both / (len(window) + sum(item.values()) - both))
 
     def matches(self, codes: np.ndarray, known: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple]:
         """(item, similarity, first word, words) of a document's best window for each item that is near enough."""
@@ -145,10 +184,17 @@ class Index:
                 lo, hi = int(run[0]), int(run[-1]) + length
                 own = shingles(codes[lo:hi], size)
                 w = np.array([self.weight.get(x, 1.0) for x in own.tolist()])
-                sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_signs(own) * w[:, None], 0)])
                 m = length - size + 1
-                prints = _packed(np.round(sums[run - lo + m] - sums[run - lo], 9))
-                for i, k in self.candidates(prints, items):
+
+                def prints(signs: np.ndarray) -> np.ndarray:
+                    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(signs, 0)])
+                    return _packed(np.round(sums[run - lo + m] - sums[run - lo], 9))
+
+                signs = _signs(own)
+                met = self.candidates(prints(signs * w[:, None]), items)
+                if light := items & self.light:
+                    met = sorted({*met, *self.candidates(prints(signs), light, plain=True)})
+                for i, k in met:
                     start = int(run[i])
                     s = self.similarity(own[start - lo : start - lo + m].tolist(), k)
                     if s >= least and (k not in best or s > best[k][1] + 1e-12):
@@ -163,21 +209,22 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     parts, held = [], []
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    weights = spark.sparkContext.broadcast(shared_weights(items))
     for r in items.orderBy("i").toLocalIterator():
         held.append((r.i, r.t))
         if len(held) == block:
-            parts.append(_against(rows, held, least))
+            parts.append(_against(rows, held, weights, least))
             held = []
     if held or not parts:
-        parts.append(_against(rows, held, least))
+        parts.append(_against(rows, held, weights, least))
     return reduce(DataFrame.unionAll, parts)
 
 
-def _against(rows: DataFrame, items: list[tuple[int, str]], least: float) -> DataFrame:
+def _against(rows: DataFrame, items: list[tuple[int, str]], weights, least: float) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = Index(shared.value, weights.value)
         for b in batches:
             start = 0
             ids = b.column(0).to_pylist()

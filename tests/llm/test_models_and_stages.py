@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -161,6 +162,35 @@ def test_decontamination(spark):
     assert decontaminate.find(df, bench.limit(0)).count() == 0 and decontaminate.find(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_items_that_repeat_or_share_text(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    a, b, c, d, e = words(60), words(100), words(60), words(60), words(8)
+    items = [a, a, b, b, b, b, b, c, [*c[:50], *words(10)], [*words(25), *c[:35]], d, e, e]
+    changed = lambda x, *at: [words(1)[0] if i in at else w for i, w in enumerate(x)]
+    docs = [changed(a, 30), changed(b, 50), changed(b, 10, 90), changed(c, 55), changed(c, 20), changed(c, 20, 40), changed(d, 3), changed(d, 20, 40), [*words(9), *changed(a, 1), *words(5)], e, changed(e, 0), items[9], changed(items[8], 59), words(70)]
+    bags = [[tuple(x[i : i + 5]) for i in range(len(x) - 4)] for x in items]
+    df = Counter(g for x in bags for g in set(x))
+
+    def jaccard(x, y, weight):
+        x, y = Counter(x), Counter(y)
+        return sum(n * weight(g) for g, n in (x & y).items()) / sum(n * weight(g) for g, n in (x | y).items())
+
+    want = {}
+    for i, t in enumerate(docs):
+        for k, item in enumerate(items):
+            size = min(len(item), len(t))
+            at = [[tuple(t[j : j + 5]) for j in range(p, p + size - 4)] for p in range(len(t) - size + 1)]
+            best = max(max(jaccard(x, bags[k], lambda g: 1 / max(1, df[g])), jaccard(x, bags[k], lambda g: 1)) for x in at)
+            if best >= 0.8:
+                want[i, k] = round(best, 9)
+    assert {(0, 0), (0, 1), (1, 2), (1, 6), (8, 0)} <= set(want)
+    texts = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    for block in (5000, 3, 1):
+        assert {(r.id, r.item): round(r.similarity, 9) for r in decontaminate.find(texts, bench, block=block).collect()} == want
+
+
 def test_multi_index_finds_all_within_the_radius():
     index = decontaminate.Index([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(40)])
     rng = np.random.default_rng(1)
