@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import similar
 from .common import by_group, connected_components, prepare, written
@@ -69,6 +70,19 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3) -> Da
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "id long, fp long")
 
 
+def _marked(df: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(row, key): each row as a struct, with its fingerprint."""
+    prepare(df.sparkSession)
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(text_col).cast("string").cast("binary").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(x.as_py() or b"", size) for x in b.column(1)), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["row", "key"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("key", T.LongType())]))
+
+
 def _pivots() -> np.ndarray:
     return np.random.default_rng(64).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -157,23 +171,27 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3, ra
 
 
 def kept(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int = 3, least: float | None = None) -> DataFrame:
-    """The rows, as they are, that stand for their group: one row with the smallest id of each component.
+    """The rows, as they are, that stand for their group: one row of each component, the one with the smallest id.
 
-    least: if given, rows link by the exact Jaccard similarity of their shingles (similar.py), not by fingerprints.
+    least: if given, rows link by the exact Jaccard similarity of their shingles (similar.py), not by fingerprints. Rows
+    are known by id and fingerprint (or code of the words): a null id comes after all others, so a row without an id stands
+    for its group only where no row has one; of rows with the same id, the smallest fingerprint stands first.
     """
     if least is None:
-        found = written(near_duplicates(df, id_col, text_col, size, radius), "components")
+        marks = written(_marked(df, text_col, size), "marks")
+        nodes = marks.select(F.col("key").alias("fp")).distinct().select(F.col("fp").alias("id"), "fp")
+        found = connected_components(links(written(nodes, "nodes"), radius))
+        parts = nodes.join(found, nodes.id == found.node, "left").select(F.col("fp").alias("key"), F.coalesce("component", "id").alias("component"))
     else:
         marks = written(similar.marked(df, text_col, size, least), "marks")
-        rows = marks.join(similar.components(marks, size, least), "key").select(F.col(f"row.{id_col}").cast("long").alias("id"), "component")
-        named = rows.groupBy("component").agg(F.min("id").alias("first"))
-        found = written(rows.join(named, "component").select("id", F.col("first").alias("component")), "components")
-    firsts = found.where("id = component").groupBy(F.col("id").alias("pivot_id")).agg(F.count("*").alias("n"))
-    firsts = written(firsts, "firsts")
-    rows = df.join(firsts.select("pivot_id"), df[id_col] == firsts.pivot_id, "left_semi")
-    if firsts.where("n > 1").limit(1).count():  # only where rows repeat an id
-        rows = rows.dropDuplicates([id_col])
-    return rows.select(*df.columns)
+        parts = similar.components(marks, text_col, size, least)
+    rows = marks.select(F.col(f"row.`{id_col}`").alias("id"), "key", "row")
+    first = rows.join(parts, "key").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    first = written(first.select("first.id", "first.key"), "firsts")  # a component's first row, once each
+    chosen = rows.join(first.select(F.col("id").alias("first_id"), F.col("key").alias("first_key")), F.col("key").eqNullSafe(F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id")))
+    if rows.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():  # only where rows repeat
+        chosen = chosen.dropDuplicates(["first_id", "first_key"])
+    return chosen.select("row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def test_components_equal_brute_force(spark, tile):
     texts = made()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     marks = similar.written(similar.marked(df, "text", 5, 0.8), "marks")
-    got = marks.join(similar.components(marks, tile=tile, first=1), "key").selectExpr("row.doc_id AS i", "component").collect()
+    got = marks.join(similar.components(marks, "text", tile=tile, first=1), "key").selectExpr("row.doc_id AS i", "component").collect()
     names = {}
     for r in sorted(got, key=lambda r: r.i):
         names.setdefault(r.component, r.i)
@@ -71,3 +71,13 @@ def test_stage_drops_near_copies_that_differ_in_many_bits(spark, small):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
     assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, small).collect()} == want
     assert cp.drop_near_duplicates(spark, docs.limit(0), small).count() == 0
+
+
+@pytest.mark.parametrize("how", [{}, {"size": 5, "least": 0.8}])
+def test_null_and_repeated_ids_lose_no_group(spark, how):
+    far = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, far[0], 1), (None, far[1], 2), (None, far[1], 2), (7, far[2], 3), (7, far[3], 4), (7, far[3], 4), (8, far[4], 5), (None, far[4], 6), (9, far[2], 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component int")
+    kept = simhash.kept(df, "doc_id", "text", **how)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, far[0], 1), (None, far[1], 2), (7, far[2], 3), (7, far[3], 4), (8, far[4], 5)], key=str)
