@@ -40,7 +40,7 @@ def forest_by_group(df: DataFrame, features: list[str], label: str, group: str,
     return out
 
 
-def tfidf_one_vs_rest(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
+def tfidf_one_vs_rest(df: DataFrame, text_col: str, label_col: str, size: int = 50_000) -> DataFrame:
     """(label, prediction, n) on a held-out third: sublinear TF-IDF of words, one logistic model a class."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, OneVsRest
@@ -48,7 +48,7 @@ def tfidf_one_vs_rest(df: DataFrame, text_col: str, label_col: str) -> DataFrame
 
     held = F.pmod(F.crc32(F.md5(F.col(text_col)).cast("binary")), F.lit(3)) == 0
     rows = df.select(F.col(text_col).alias("t"), F.col(label_col).alias("l"), held.alias("held"))
-    stages = [StringIndexer(inputCol="l", outputCol="label"), RegexTokenizer(inputCol="t", outputCol="w", pattern=r"[^\p{L}]+"), CountVectorizer(inputCol="w", outputCol="c", minDF=5, vocabSize=20_000), IDF(inputCol="c", outputCol="i"), Normalizer(inputCol="i", outputCol="features"), OneVsRest(classifier=LogisticRegression(maxIter=20, regParam=0.01))]
+    stages = [StringIndexer(inputCol="l", outputCol="label"), RegexTokenizer(inputCol="t", outputCol="w", pattern=r"[^\p{L}]+"), CountVectorizer(inputCol="w", outputCol="c", minDF=5, vocabSize=size), IDF(inputCol="c", outputCol="i"), Normalizer(inputCol="i", outputCol="features"), OneVsRest(classifier=LogisticRegression(maxIter=20, regParam=0.01))]
     m = Pipeline(stages=stages).fit(rows.where(~F.col("held")))
     return m.transform(rows.where("held")).groupBy(F.col("l").alias("label"), F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
