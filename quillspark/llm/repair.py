@@ -31,7 +31,7 @@ from .bpe import _CACHES, _COMMON, Cache, coded, default_vocabulary, slices
 from .common import prepare, shared_dir
 
 SEGMENT = 1 << 20
-ROUNDS, MOST, LEAST = 4, 4000, 12
+MOST, LEAST = 4000, 12
 _NULL = -(1 << 63)
 
 
@@ -40,15 +40,13 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return ((codes * codes.dtype.type(2654435761)) >> codes.dtype.type(codes.itemsize * 8 - 16)).astype(np.uint16)
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = MOST, least: int = LEAST) -> bytes:
-    """The payload of ids below `first`. Each round replaces the pairs that occur most, at least `least` times."""
-    wide = first + rounds * most > 1 << 16
+def compress(ids: np.ndarray, first: int, most: int = MOST, least: int = LEAST) -> bytes:
+    """The payload of ids below `first`. Each round replaces the pairs that occur most, until none occurs `least` times."""
+    wide = first > 1 << 16
     kind, code, shift = (np.uint32, np.uint64, 32) if wide else (np.uint16, np.uint32, 16)
     seq = ids.astype(kind)
     pairs, lengths = [np.empty((0, 2), kind)], np.empty(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         codes = seq[:-1].astype(code)
         codes <<= code(shift)
         codes |= seq[1:]
@@ -63,6 +61,12 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = MOST
         keys = np.sort(ordered[starts[often]])
         left, right = (keys >> code(shift)).astype(kind), (keys & code((1 << shift) - 1)).astype(kind)
         size = first + sum(map(len, pairs))
+        if not wide and size + len(keys) > 1 << 16:  # from here on, symbols need 32 bits
+            wide, kind, code, shift = True, np.uint32, np.uint64, 32
+            seq, pairs = seq.astype(kind), [x.astype(kind) for x in pairs]
+            left, right = left.astype(kind), right.astype(kind)
+            keys = left.astype(code) << code(shift) | right
+            codes = seq[:-1].astype(code) << code(shift) | seq[1:]
         is_left, is_right = np.zeros(size, bool), np.zeros(size, bool)
         is_left[left], is_right[right] = True, True
         at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])

@@ -82,6 +82,16 @@ def test_repair_round_trip(first, n, kinds):
         assert len(s.symbols) < n / 1.3
 
 
+@pytest.mark.parametrize("first,n,most", [(49408, 6000, 4000), (65500, 6000, 20)])
+def test_repair_leaves_no_frequent_pair(first, n, most):
+    ids = np.tile(np.random.default_rng(3).integers(0, 40000, 300).astype(np.uint32), n // 300 * 3)
+    s = repair.Segment(repair.compress(ids, first, most=most))
+    assert (s.all() == ids).all() and s.lengths.max() > 16
+    pairs = np.unique(s.symbols[:-1].astype(np.uint64) << np.uint64(32) | s.symbols[1:], return_counts=True)[1]
+    # of a run of one symbol every second pair counts
+    assert len(s.symbols) < 2 or pairs.max() < repair.LEAST
+
+
 def test_token_files(spark, library):
     texts = odd_texts()
     folder = repair.write(documents(spark, texts), "doc_id", "text", segment=500)
