@@ -1,4 +1,4 @@
-"""Word-level BPE by a depth-first walk over a trie of words that share prefixes.
+"""Word-level BPE by a depth-first walk over the trie of distinct words, so that what prefixes share is done once.
 
 The state of a prefix is its last token: a sequence of tokens is an encoding exactly if every two neighbours are
 compatible, that is, if no merge across their border comes before the merges that build them. So the encoding of a
@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 400_000
+#: Words, pieces and pairs that a worker keeps at hand (two generations of each); it drops them when its task ends.
+CACHE = 30_000
+#: Bytes of texts that are encoded together.
+GATHER = 8_000_000
 #: Letters and signs whose classes and lower case no Unicode version changes, and that are their own NFC.
 _COMMON = re.compile("[!-~\xa1-\xac\xae-\u012f\u0132-\u017f]+")
 
@@ -157,7 +160,7 @@ class WordBPE:
     def compatible(self, left: int, right: int) -> bool:
         key = left << 20 | right
         if (ok := self._pairs.get(key)) is None:
-            if len(self._pairs) > CACHE:
+            if len(self._pairs) > 2 * CACHE:
                 self._pairs.clear()
             ok = self._pairs[key] = self._border(left, right) == float("inf")
         return ok
@@ -165,6 +168,8 @@ class WordBPE:
     def forget(self) -> None:
         """Drops what was computed on the way; it is found again when needed."""
         self._pairs.clear()
+        self._spines.clear()
+        self._known.clear()
 
     def words_of(self, chunk: str) -> list[str]:
         """The words of a piece of text without white space, as visible byte symbols."""
@@ -183,54 +188,64 @@ class WordBPE:
         return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))]
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct words (byte symbols). The words go into a trie; one walk carries the last-token states."""
-        children: list[dict[str, int] | None] = [{}]
-        ends: dict[int, str] = {}
-        for w in words:
-            node = 0
-            for c in w:
-                own = children[node]
-                if own is None:
-                    own = children[node] = {}
-                if (child := own.get(c)) is None:
-                    child = own[c] = len(children)
-                    children.append(None)
-                node = child
-            ends[node] = w
+        """Ids of distinct words (byte symbols), by one depth-first walk of their trie that carries the last-token states.
+
+        Sorted words are the trie's ends in depth-first order, and a node is a prefix that neighbours share. So a word is
+        put in by going back to the node where it leaves the word before it; only the path to that node is ever held.
+        """
         out: dict[str, list[int]] = {}
         goto, fail, inner, final, size = self._goto, self._fail, self._inner, self._final, self.size
         pairs, compatible = self._pairs, self.compatible
         last: list[int] = [0]  # last token of each prefix on the path; the empty prefix has none
-        stack = [(child, c, 1, 0) for c, child in (children[0] or {}).items()]
-        while stack:
-            node, c, depth, state = stack.pop()
-            while (to := goto[state].get(c)) is None and state:
-                state = fail[state]
-            state = to or 0
-            del last[depth:]
-            if node in ends:
-                for t, n in final[state]:
-                    if (before := depth - n) == 0 or ((ok := pairs.get(last[before] << 20 | t)) is None and compatible(last[before], t)) or ok:
-                        break
-                else:
-                    raise ValueError(f"no token ends {ends[node]!r}")
-                ids = [t]
-                while before:
-                    ids.append(x := last[before])
-                    before -= size[x]
-                ids.reverse()
-                out[ends[node]] = ids
-            if below := children[node]:
+        states: list[int] = [0]  # the automaton's state at each prefix
+        before_ = ""
+        for w in sorted(words):
+            shared, most = 0, min(len(before_), len(w) - 1)
+            while shared < most and before_[shared] == w[shared]:
+                shared += 1
+            before_ = w
+            # the node of a whole word has a state, but no last token until a longer word goes through it
+            del states[shared + 1 :], last[shared + 1 :]
+            state = states[shared]
+            for depth in range(len(last), shared + 1):
+                last.append(self._last(inner[state], depth, last, w))
+            for depth in range(shared + 1, len(w)):
+                c = w[depth - 1]
+                while (to := goto[state].get(c)) is None and state:
+                    state = fail[state]
+                state = to or 0
+                states.append(state)
                 for t, n in inner[state]:
-                    if (before := depth - n) == 0 or ((ok := pairs.get(last[before] << 20 | t)) is None and compatible(last[before], t)) or ok:
+                    if (at := depth - n) == 0 or ((ok := pairs.get(last[at] << 20 | t)) is None and compatible(last[at], t)) or ok:
                         break
                 else:
                     raise ValueError(f"no token ends at {c!r}")
                 last.append(t)
-                for x, child in below.items():
-                    stack.append((child, x, depth + 1, state))
+            depth, c = len(w), w[-1]
+            while (to := goto[state].get(c)) is None and state:
+                state = fail[state]
+            state = to or 0
+            states.append(state)
+            for t, n in final[state]:
+                if (at := depth - n) == 0 or ((ok := pairs.get(last[at] << 20 | t)) is None and compatible(last[at], t)) or ok:
+                    break
+            else:
+                raise ValueError(f"no token ends {w!r}")
+            ids = [t]
+            while at:
+                ids.append(x := last[at])
+                at -= size[x]
+            ids.reverse()
+            out[w] = ids
         return out
 
+    def _last(self, tokens: tuple, depth: int, last: list[int], word: str) -> int:
+        """The last token of the word's prefix of this depth, of those that may end there."""
+        for t, n in tokens:
+            if depth == n or self.compatible(last[depth - n], t):
+                return t
+        raise ValueError(f"no token ends at {depth} of {word!r}")
+
     def encode_chunks(self, chunks: list[str]) -> dict[str, list[int]]:
         """Ids of pieces of text without white space; the words of all pieces that were not met lately share one trie."""
         parts: dict[str, list] = {}
@@ -288,16 +303,16 @@ _CACHES: dict[tuple, Cache] = {}
 
 
 def _texts_cache(path: str) -> Cache:
-    """Piece -> (its ids as text, its decoded text)."""
+    """Piece -> (number of its ids, its ids as text, its decoded text)."""
 
     def make(chunks: list[str]) -> dict:
         bpe = model(path)
-        return {c: (" ".join(map(str, ids)), bpe.decode(ids)) for c, ids in bpe.encode_chunks(chunks).items()}
+        return {c: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)) for c, ids in bpe.encode_chunks(chunks).items()}
 
-    return _CACHES.setdefault(("texts", path), Cache(make, CACHE // 3))
+    return _CACHES.setdefault(("texts", path), Cache(make, CACHE // 2))
 
 
-def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
     """Runs of texts of about so many bytes; a longer text is a run of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
@@ -307,6 +322,19 @@ def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[pa.Array]:
         start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of about so many bytes, where a larger run is worth its memory."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The texts' pieces between ASCII white space: (a code for each piece, borders of the texts, piece of each code).
 
@@ -328,32 +356,32 @@ def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
         gc.disable()  # the caches are large and nothing here makes cycles
         cache = _texts_cache(path)
         try:
-            for b in batches:
+            for b in gathered(batches, GATHER):
                 start = 0
-                for part in slices(b.column(1), 8_000_000):
-                    n_tokens, texts = whole(cache, part)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), n_tokens, *texts], ["id", "n_tokens", "ids", "decoded"])
+                for part in slices(b.column(1), GATHER):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), *whole(cache, part)], ["id", "n_tokens", "ids", "decoded"])
                     start += len(part)
         finally:  # the worker goes on to other operators' tasks
             cache.clear()
             model(path).forget()
             gc.enable()
 
-    def whole(cache: Cache, part: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+    def whole(cache: Cache, part: pa.Array) -> list[pa.Array]:
         codes, borders, pieces = coded(part)
         cache.fill(set(pieces))
         values = list(map(cache.young.__getitem__, pieces))
-        counts = np.fromiter([x[0].count(" ") + 1 if x[0] else 0 for x in values], np.int64, len(values))
-        ends = np.concatenate([[0], np.cumsum(counts[codes])])[borders]
-        real = counts[codes] > 0  # a piece without tokens has no place in a join
-        if not real.all():
+        counts = np.fromiter([x[0] for x in values], np.int32, len(values))
+        n_tokens = np.add.reduceat(counts[codes], borders[:-1], dtype=np.int64) if len(part) else np.zeros(0, np.int64)
+        if not counts.all():  # a piece without tokens has no place in a join
+            real = counts[codes] > 0
             borders, codes = np.concatenate([[0], np.cumsum(real)])[borders], codes[real]
-        out = []
-        for k in (0, 1):
-            lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array([x[k] for x in values], pa.string()).take(pa.array(codes)))
-            joined = pc.binary_join(lists, " ")
-            out.append(joined if keep_text else pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string()))
-        return pa.array(np.diff(ends)), out
+        out = [pa.array(n_tokens)]
+        for k in (1, 2):
+            names = [x[k] for x in values]
+            # one text at a time: nothing of the size of a batch is built
+            joined = (" ".join([names[c] for c in codes[a:b].tolist()]) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()))
+            out.append(pa.array(joined if keep_text else (hashlib.sha256(x.encode()).hexdigest() for x in joined), pa.string(), size=len(part)))
+        return out
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n_tokens long, ids string, decoded string")
 

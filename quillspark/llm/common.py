@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parent.parent.parent)
 
 
+#: Most bytes of a batch that goes to Python: buffers on both sides grow with it, also outside the JVM's heap.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 #: Lets a Python worker, which outlives its tasks, give large freed blocks back to the system.
 ALLOCATION = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4000000", "MALLOC_TRIM_THRESHOLD_": "16000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers of this session import the package (on a cluster it is also installed or shipped)."""
+    """Lets Python workers of this session import the package (on a cluster it is also installed or shipped).
+
+    Arrow batches of this session are kept to BATCH_BYTES, unless the session has set a size of its own.
+    """
+    if spark.conf.get(BATCH) == "67108864b":  # Spark's default
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     for k, v in ALLOCATION.items():
         env.setdefault(k, v)

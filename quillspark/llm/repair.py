@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _CACHES, _COMMON, Cache, coded, default_vocabulary, slices
+from .bpe import _CACHES, _COMMON, Cache, coded, default_vocabulary, gathered, slices
 from .common import prepare, shared_dir
 
 SEGMENT = 1 << 20
@@ -198,6 +198,11 @@ class Library:
         return out
 
 
+    def forget(self) -> None:
+        """Drops what was encoded on the way."""
+        self._known.clear()
+
+
 @lru_cache(maxsize=2)
 def _library(path: str) -> Library:
     return Library(path)
@@ -240,34 +245,39 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the caches are large and nothing here makes cycles
-        cache, first = _ids_cache(path), _library(path).size
+        library, cache = _library(path), _ids_cache(path)
         docs, sizes, parts, held, seq = [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
             doc, size, ids = np.concatenate(docs), np.concatenate(sizes), np.concatenate(parts)
-            values = [int(doc[0]), seq, len(ids), doc.tobytes(), size.astype("<u4").tobytes(), compress(ids, first)]
+            values = [int(doc[0]), seq, len(ids), doc.tobytes(), size.astype("<u4").tobytes(), compress(ids, library.size)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["first_doc", "seq", "n_ids", "docs", "sizes", "payload"])
 
-        for b in batches:
-            start = 0
-            for part in slices(b.column(1)):
-                doc = pc.fill_null(b.column(0).slice(start, len(part)), _NULL).to_numpy().astype("<i8")
-                start += len(part)
-                ids, ends = ids_of(part, cache, end_id)
-                at = 0
-                while at < len(doc):  # documents up to the one that fills the segment
-                    done = ends[at - 1] if at else 0
-                    to = min(len(doc), int(np.searchsorted(ends, done + segment - held)) + 1)
-                    docs.append(doc[at:to])
-                    sizes.append(np.diff(ends[at:to], prepend=done))
-                    parts.append(ids[done : ends[to - 1]])
-                    held += int(ends[to - 1] - done)
-                    at = to
-                    if held >= segment:
-                        yield row()
-                        docs, sizes, parts, held, seq = [], [], [], 0, seq + 1
-        if docs:
-            yield row()
+        try:
+            for b in gathered(batches):
+                start = 0
+                for part in slices(b.column(1), 8_000_000):
+                    doc = pc.fill_null(b.column(0).slice(start, len(part)), _NULL).to_numpy().astype("<i8")
+                    start += len(part)
+                    ids, ends = ids_of(part, cache, end_id)
+                    at = 0
+                    while at < len(doc):  # documents up to the one that fills the segment
+                        done = ends[at - 1] if at else 0
+                        to = min(len(doc), int(np.searchsorted(ends, done + segment - held)) + 1)
+                        docs.append(doc[at:to])
+                        sizes.append(np.diff(ends[at:to], prepend=done))
+                        parts.append(ids[done : ends[to - 1]])
+                        held += int(ends[to - 1] - done)
+                        at = to
+                        if held >= segment:
+                            yield row()
+                            docs, sizes, parts, held, seq = [], [], [], 0, seq + 1
+            if docs:
+                yield row()
+        finally:  # the worker goes on to other operators' tasks
+            cache.clear()
+            library.forget()
+            gc.enable()
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id")

@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import similar
 from .common import by_group, connected_components, prepare, written
@@ -71,16 +70,15 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3) -> Da
 
 
 def _marked(df: DataFrame, text_col: str, size: int) -> DataFrame:
-    """(row, key): each row as a struct, with its fingerprint."""
+    """(row, key): each row as a struct, with its fingerprint. Only texts go to Python, only fingerprints come back."""
     prepare(df.sparkSession)
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(text_col).cast("string").cast("binary").alias("t"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py() or b"", size) for x in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["row", "key"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.fromiter((fingerprint(x.as_py() or b"", size) for x in texts), np.uint64, len(texts)).view(np.int64))
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("key", T.LongType())]))
+    key = F.arrow_udf(run, "long")(df[text_col].cast("string").cast("binary"))
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), key.alias("key"))
 
 
 def _pivots() -> np.ndarray:

@@ -336,7 +336,7 @@ def score(df: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             start = 0
-            for part in slices(b.column(1), 8_000_000):
+            for part in slices(b.column(1)):
                 found = score_texts(shared.value, part)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), *(pa.array(c) for c in found)], ["id", "score", "n_windows", "worst_word"])
                 start += len(part)
@@ -345,21 +345,18 @@ def score(df: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", t
 
 
 def kept(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, as they are, whose texts score below the threshold."""
+    """The rows, as they are, whose texts score below the threshold. Only texts go to Python, only scores come back."""
     spark = df.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    at = df.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            start = 0
-            for part in slices(b.column(at).cast(pa.string()), 8_000_000):
-                clean = score_texts(shared.value, part)[0] < threshold
-                yield b.slice(start, len(part)).filter(pa.array(clean))
-                start += len(part)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [score_texts(shared.value, part)[0] for part in slices(texts)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    return df.mapInArrow(run, df.schema)
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.arrow_udf(run, "double")(df[text_col].cast("string")).alias("score"))
+    return rows.where(F.col("score") < threshold).select("row.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
