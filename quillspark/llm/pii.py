@@ -5,7 +5,8 @@ country prefixes, area numbers), the words before it, the characters around it.
 (at most 3^4 a kind, whatever the input); on these counts expectation-maximisation estimates each labeler's reliability
 and each kind's share of true spans, and a logistic span classifier is trained on the resulting probabilities. As a
 column expression it then judges every candidate. Base spans (the four contracted patterns that pass their checks)
-always stay; what the classifier accepts of the rest is added where it overlaps no base span.
+always stay; what the classifier accepts of the rest is added where it overlaps no base span. The time for a text grows
+with its length, however many spans it has.
 
 Offsets are code points, the end exclusive. Patterns are written so that Java's matcher neither recurses nor starts
 anew inside a run that has failed; their matches are the same.
@@ -44,6 +45,8 @@ GAZETTEER = [
     r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
 ]
 ACCEPT, ROUNDS = 0.9, 60
+#: Elements that a scan goes through at once; code points of a piece that redaction cuts a text into.
+BLOCK, CUT = 128, 512
 
 
 def _digits(x: Column) -> Column:
@@ -75,53 +78,81 @@ def _valid(kind: int, base: bool, m: Column) -> Column:
     return m.rlike("[A-Za-z]{2,6}$") if kind == 0 and not base else F.lit(True)
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, with x evaluated once a row, however often f names it (also inside lambdas)."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _scan(values: Column, op, zero: int) -> Column:
+    """(n + 1 whole numbers) what op makes of the values before each element, and of all. In blocks, so that its time is
+    that of the array's length times BLOCK at most: an array that grows by one is copied each time."""
+
+    def plain(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    start = F.lit(zero).cast("int")
+
+    def blocks(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        own = lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))
+        totals = F.transform(numbers, lambda b: F.aggregate(own(b), start, lambda acc, x: op(acc, x)))
+
+        def filled(before: Column) -> Column:
+            inner = F.transform(numbers, lambda b: _let(plain(own(b), F.element_at(before, b + 1)), lambda r: F.slice(r, F.lit(1), F.size(r) - 1)))
+            return F.concat(F.flatten(inner), F.array(F.element_at(before, -1)))
+
+        return _let(plain(totals, start), filled)
+
+    return _let(values, lambda xs: F.when(F.size(xs) <= BLOCK, plain(xs, start)).otherwise(blocks(xs)))
+
+
 def _found(text: Column, number: int) -> Column:
-    """Array of (kind, base, start, end, votes) for one pattern's matches."""
+    """Array of (kind, base, start, end, votes) for one pattern's matches, in time that grows with the text's length.
+
+    The text is cut at the matches; a match's place is the sum of the lengths before it, and its context is the end of
+    the piece before it and the start of the piece after it, so the text is never walked again for a match.
+    """
     kind, base, pattern = PATTERNS[number]
-    many = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    apart = F.split(text, pattern, -1)
-    state = F.struct(many.alias("m"), F.transform(apart, lambda x: F.length(x)).alias("s"))
-    none = F.array().cast("array<struct<kind:int,base:boolean,at:int,until:int,m:string,v:array<int>>>")
+    state = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("s"))
+    sign = lambda c, no: F.when(c, 1).otherwise(no)
+
+    def span(z: Column) -> Column:
+        word, before = z["m"], F.lower(F.right(F.concat(z["last"], z["gap"]), F.lit(40)))
+        at = z["pos"] + F.length(z["gap"])
+        around = F.concat(F.when(before == "", " ").otherwise(F.right(before, F.lit(1))), F.lit("|"), F.left(F.concat(z["after"], z["next"]), F.lit(1)))
+        votes = F.array(sign(_valid(kind, base, word), -1), sign(word.rlike(GAZETTEER[kind]), -1), sign(before.rlike(CONTEXT[kind]), 0), sign(~around.rlike(r"[\p{L}\p{N}]"), -1))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), at.alias("at"), (at + F.length(word)).alias("until"), votes.alias("v"))
 
     def spans(x: Column) -> Column:
         m, s = x["m"], x["s"]
-        starts = F.aggregate(
-            F.sequence(F.lit(1), F.size(m)), F.slice(s, 1, 1), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.element_at(m, i)) + F.element_at(s, i + 1)))
-        )
+        n = F.size(m)
+        pos = F.slice(_scan(F.zip_with(m, F.slice(s, F.lit(1), n), lambda a, b: F.length(a) + F.length(b)), lambda a, b: a + b, 0), F.lit(1), n)
+        none = F.array(F.lit(""))
+        last, next_ = F.concat(none, F.slice(m, F.lit(1), n - 1)), F.concat(F.slice(m, F.lit(2), n), none)
+        zipped = F.arrays_zip(m.alias("m"), F.slice(s, F.lit(1), n).alias("gap"), F.slice(s, F.lit(2), n).alias("after"), last.alias("last"), next_.alias("next"), pos.alias("pos"))
+        return F.transform(zipped, span)
 
-        def span(word: Column, i: Column) -> Column:
-            at = F.element_at(starts, i + 1)
-            until = at + F.length(word)
-            before = F.lower(F.substring(text, F.greatest(at - 39, F.lit(1)), F.least(at, F.lit(40))))
-            around = F.concat(F.when(at > 0, F.substring(text, at, F.lit(1))).otherwise(" "), F.lit("|"), F.substring(text, until + 1, F.lit(1)))
-            sign = lambda c, no: F.when(c, 1).otherwise(no)
-            votes = F.array(sign(_valid(kind, base, word), -1), sign(word.rlike(GAZETTEER[kind]), -1), sign(before.rlike(CONTEXT[kind]), 0), sign(~around.rlike(r"[\p{L}\p{N}]"), -1))
-            return F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), at.alias("at"), until.alias("until"), word.alias("m"), votes.alias("v"))
+    # one evaluation of the pattern a text: the state goes through a lambda
+    return _let(state, lambda x: F.when(F.size(x["m"]) > 0, spans(x)).otherwise(_none()))
 
-        return F.transform(m, span)
 
-    # one evaluation of the pattern a text: the state goes through a lambda
-    return F.when(F.size(many) > 0, F.element_at(F.transform(F.array(state), spans), 1)).otherwise(none)
+def _none() -> Column:
+    return F.array().cast("array<struct<kind:int,base:boolean,at:int,until:int,v:array<int>>>")
 
 
 def candidates(df: DataFrame, text_col: str) -> DataFrame:
-    """The rows with a column `pii_found`: all patterns' matches with their votes."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    has = {0: F.contains(text, F.lit("@")), 4: F.contains(F.lower(text), F.lit("at)")) | F.contains(F.lower(text), F.lit("at]"))}
+    """(row, found): each row as a struct, whatever its columns are called, with all patterns' matches and their votes."""
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    low = F.lower(text)
+    may = {0: F.contains(text, F.lit("@")), 3: F.contains(text, F.lit("+")), 4: F.contains(low, F.lit("at)")) | F.contains(low, F.lit("at]"))}
     digits = text.rlike("[0-9]")
-    names = []
-    for n in range(len(PATTERNS)):
-        kind, base, _ = PATTERNS[n]
-        can = has[0] if n == 0 else has[4] if n == 4 else F.contains(text, F.lit("+")) if n == 3 else digits
-        none = F.array().cast("array<struct<kind:int,base:boolean,at:int,until:int,m:string,v:array<int>>>")
-        df = df.withColumn(f"pii_{n}", F.when(can, _found(text, n)).otherwise(none))
-        names.append(f"pii_{n}")
-    return df.withColumn("pii_found", F.concat(*names)).drop(*names)
+    found = [F.when(may.get(n, digits), _found(text, n)).otherwise(_none()) for n in range(len(PATTERNS))]
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.concat(*found).alias("found"))
 
 
 def vote_counts(found: DataFrame) -> list[tuple]:
     """(kind, base, votes, count): the combinations of votes, a bounded number of rows."""
-    rows = found.select(F.explode("pii_found").alias("c")).groupBy("c.kind", "c.base", "c.v").agg(F.count("*").alias("n")).collect()
+    rows = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.base", "c.v").agg(F.count("*").alias("n")).collect()
     return sorted((r.kind, r.base, tuple(r.v), r.n) for r in rows)
 
 
@@ -181,9 +212,20 @@ def spans(found: Column, weights: list[float]) -> tuple[Column, Column]:
         odds = sum((c["v"][j] * weights[j] for j in range(4)), F.lit(0.0)) + F.element_at(F.array(*[F.lit(float(x)) for x in weights[4:]]), c["kind"] + 1)
         return (1 / (1 + F.exp(-odds)) >= ACCEPT) & ~(c["base"])
 
-    added = F.transform(F.filter(found, accepted), plain)
-    added = F.filter(added, lambda c: ~F.exists(base, lambda b: (b["at"] < c["until"]) & (c["at"] < b["until"])))
-    return base, F.array_sort(F.array_distinct(F.concat(base, added)))
+    def fit(every: Column) -> Column:
+        """Of spans by start, base ones first, those that are base or overlap none: by the furthest end of base spans up to
+        each, and the nearest start of one after it."""
+        far = F.slice(_scan(F.transform(every, lambda c: F.when(c["mine"] == 0, c["until"]).otherwise(-1)), F.greatest, -1), F.lit(1), F.size(every))
+        most = 2**31 - 1
+        back = _scan(F.transform(F.reverse(every), lambda c: F.when(c["mine"] == 0, c["at"]).otherwise(most)), F.least, most)
+        near = F.reverse(F.slice(back, F.lit(1), F.size(every)))
+        kept = F.filter(F.arrays_zip(every.alias("c"), far.alias("far"), near.alias("near")), lambda z: (z["c"]["mine"] == 0) | ((z["far"] <= z["c"]["at"]) & (z["near"] >= z["c"]["until"])))
+        return F.transform(kept, lambda z: F.struct(z["c"]["kind"].alias("kind"), z["c"]["at"].alias("at"), z["c"]["until"].alias("until")))
+
+    tagged = lambda mine: lambda c: F.struct(c["at"].alias("at"), F.lit(mine).alias("mine"), c["until"].alias("until"), c["kind"].alias("kind"))
+    added = F.transform(F.filter(found, accepted), tagged(1))
+    every = _let(F.array_sort(F.concat(F.transform(base, tagged(0)), added)), fit)
+    return base, F.when(F.size(added) > 0, F.array_sort(F.array_distinct(every))).otherwise(base)
 
 
 def listed(of: Column) -> Column:
@@ -191,27 +233,38 @@ def listed(of: Column) -> Column:
     return F.array_join(F.transform(of, lambda c: F.concat_ws(":", F.element_at(names, c["kind"] + 1), c["at"].cast("string"), c["until"].cast("string"))), ",")
 
 
-def redacted(df: DataFrame, text_col: str, weights: list[float]) -> DataFrame:
-    """The rows with each span of the text replaced by its kind in brackets; spans that overlap become one."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = candidates(df, text_col)
-    rows = rows.withColumn("pii_all", F.array_sort(F.transform(spans(F.col("pii_found"), weights)[1], lambda c: F.struct(c["at"].alias("at"), c["until"].alias("until"), c["kind"].alias("kind")))))
+def redacted(found: DataFrame, text_col: str, weights: list[float]) -> DataFrame:
+    """The rows of candidates with each span of the text replaced by its kind in brackets; spans that overlap become one."""
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    every = F.array_sort(F.transform(spans(F.col("found"), weights)[1], lambda c: F.struct(c["at"].alias("at"), c["until"].alias("until"), c["kind"].alias("kind"))))
+
+    def put(x: Column) -> Column:
+        """Pieces of the text between the spans come from pieces of CUT code points, so the text is walked once."""
+        spans_, parts = x["spans"], x["parts"]
+
+        def piece(at: Column, until: Column) -> Column:
+            first = F.floor(at / CUT).cast("int")
+            near = F.array_join(F.slice(parts, first + 1, F.floor((until - 1) / CUT).cast("int") - first + 1), "")
+            return F.when(until > at, F.substring(near, at % CUT + 1, until - at)).otherwise("")
+
+        ends = _scan(F.transform(spans_, lambda c: c["until"]), F.greatest, 0)
+        own = F.arrays_zip(spans_.alias("c"), F.slice(ends, F.lit(1), F.size(spans_)).alias("end"))
+        out = F.transform(own, lambda z: F.when(z["c"]["at"] >= z["end"], F.concat(piece(z["end"], z["c"]["at"]), F.element_at(names, z["c"]["kind"] + 1))).otherwise(""))
+        return F.concat(F.array_join(out, ""), piece(F.array_max(ends), x["size"]))
 
-    def put(acc: Column, c: Column) -> Column:
-        tag = F.when(c["at"] >= acc["pos"], F.concat(F.substring(text, acc["pos"] + 1, c["at"] - acc["pos"]), F.element_at(names, c["kind"] + 1))).otherwise("")
-        return F.struct(F.greatest(acc["pos"], c["until"]).alias("pos"), F.concat(acc["out"], F.array(tag)).alias("out"))
+    def clean(every: Column) -> Column:
+        cut = F.struct(every.alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)).alias("parts"), F.length(text).alias("size"))
+        return F.when(F.size(every) > 0, _let(cut, put)).otherwise(F.col("row")[text_col].cast("string"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate("pii_all", start, put, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["pos"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("pii_all") > 0, whole).otherwise(F.col(text_col))).drop("pii_found", "pii_all")
+    kind = found.schema["row"].dataType[text_col].dataType
+    return found.withColumn("row", F.col("row").withField(f"`{text_col}`", _let(every, clean).cast(kind))).select("row.*")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = candidates(documents.select("doc_id", "text"), "text").select("doc_id", F.transform("pii_found", lambda c: c.dropFields("m")).alias("pii_found"))
-    found = written(found, "candidates")
-    base, every = spans(F.col("pii_found"), classifier(found))
+    found = written(candidates(documents.select("doc_id", "text"), "text").select("row.doc_id", "found"), "candidates")
+    base, every = spans(F.col("found"), classifier(found))
     rows = found.select("doc_id", base.alias("base"), every.alias("every"))
 
     def number(kind: int) -> Column:  # a lambda's second parameter would be the element's position

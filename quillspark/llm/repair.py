@@ -158,7 +158,7 @@ class Library:
         self._ends = np.zeros(self.size, bool)
         for name, i in spec["model"]["vocab"].items():
             self._ends[i] = name.endswith(spec["model"]["end_of_word_suffix"])
-        self._known = Cache(self._encode_words)
+        self._known = Cache(self._encode_words, 200_000)
 
     def _encode_words(self, words: list[str], most: int = 500) -> dict[str, bytes]:
         """Words between spaces: each ends with its only token of a word end."""
@@ -210,7 +210,7 @@ def _library(path: str) -> Library:
 
 def _ids_cache(path: str) -> Cache:
     """Piece between white space -> its ids as bytes. No word of this kind of file crosses white space."""
-    return _CACHES.setdefault(("ids", path), Cache(_library(path).encode))
+    return _CACHES.setdefault(("ids", path), Cache(_library(path).encode, 200_000))
 
 
 def ids_of(texts: pa.Array, cache: Cache, end_id: int) -> tuple[np.ndarray, np.ndarray]:

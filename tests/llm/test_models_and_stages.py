@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, html, pii, quality, toxicity
@@ -36,7 +38,7 @@ def test_pii_equals_brute_force(spark, small):
     rng = np.random.default_rng(4)
     odd = ODD + ["".join(rng.choice(list("ab1 23.@+-()_é😀")) for _ in range(60)) for _ in range(150)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(odd)], "doc_id long, text string, kind int")
-    found = pii.candidates(docs, "text").select("doc_id", pii.listed(pii.spans(F.col("pii_found"), [0.0] * 4 + [-9.0] * 5)[0]).alias("b"))
+    found = pii.candidates(docs, "text").select("row.doc_id", pii.listed(pii.spans(F.col("found"), [0.0] * 4 + [-9.0] * 5)[0]).alias("b"))
     assert {r.doc_id: r.b for r in found.collect()} == {i: ",".join(base(t)) for i, t in enumerate(odd)}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in pii.op5(spark, small).collect():
@@ -45,12 +47,69 @@ def test_pii_equals_brute_force(spark, small):
         assert r.n_email == sum(x.startswith("email") for x in want)
 
 
+def plain_spans(text, w):
+    """All spans by plain Python: base ones, and what the classifier accepts of the rest where it overlaps none."""
+    kept = [(pii.KINDS.index(x.split(":")[0]), *map(int, x.split(":")[1:])) for x in base(text)]
+    added = []
+    for kind, is_base, pattern in pii.PATTERNS:
+        if is_base:
+            continue
+        for m in regex.finditer(pattern, text or ""):
+            word, before, after = m.group(), (text[: m.start()])[-40:].lower(), text[m.end() : m.end() + 1]
+            good = bool(re.search("^[2-9][0-9]{2}[2-9]", re.sub("[^0-9]", "", word))) if kind == 3 else bool(re.search("[A-Za-z]{2,6}$", word)) if kind == 0 else True
+            alone = not regex.search(r"[\p{L}\p{N}]", (before[-1:] or " ") + after)
+            votes = [1 if good else -1, 1 if re.search(pii.GAZETTEER[kind], word) else -1, 1 if re.search(pii.CONTEXT[kind], before) else 0, 1 if alone else -1]
+            odds = sum(a * b for a, b in zip(votes, w)) + w[4 + kind]
+            if 1 / (1 + np.exp(-odds)) >= pii.ACCEPT and not any(a < m.end() and m.start() < b for _, a, b in kept):
+                added.append((kind, m.start(), m.end()))
+    return sorted({*kept, *added})
+
+
+def plain_redaction(text, spans):
+    out, pos = "", 0
+    for a, b, k in sorted((a, b, k) for k, a, b in spans):
+        if a >= pos:
+            out += text[pos:a] + f"[{pii.KINDS[k].upper()}]"
+        pos = max(pos, b)
+    return out + text[pos:]
+
+
+def test_pii_spans_and_redaction_equal_plain_python(spark):
+    rng = np.random.default_rng(5)
+    bits = ["call 212-555-0147 now", "ssn 123-45-6789", "bob (at) site (dot) com", "a@b.cd", "1.2.3.4", "+1 212 555 0199", "4111 1111 1111 1111", "é😀 x", "12", ". ", "mail bob[at]x.org", "social 078-05-1120,"]
+    texts = [" ".join(rng.choice(bits, int(rng.integers(1, 9)))) for _ in range(120)] + [" ".join(rng.choice(bits, 700)), *[x for x in ODD if x]]
+    w = [1.2, 0.8, 1.0, 0.9, 0.5, 0.1, 0.1, 0.4, 0.6]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.candidates(docs, "text")
+    got = {r.doc_id: r.b for r in found.select("row.doc_id", pii.listed(pii.spans(F.col("found"), w)[1]).alias("b")).collect()}
+    clean = {r.doc_id: r.text for r in pii.redacted(found, "text", w).collect()}
+    extra = 0
+    for i, t in enumerate(texts):
+        want = plain_spans(t, w)
+        extra += len(want) - len(base(t))
+        assert got[i] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want), t[:200]
+        assert clean[i] == plain_redaction(t, want)
+    assert extra > 100
+
+
+def test_pii_time_grows_with_the_length(spark):
+    for n in (3, 40_000):  # 40,000 addresses in one text; once this grew with more than the square
+        docs = spark.createDataFrame([(1, " ".join(f"u{i}@site{i % 97}.org" for i in range(n)))], "doc_id long, text string")
+        start = time.time()
+        found = pii.candidates(docs, "text")
+        r = pii.redacted(found, "text", [0.0] * 4 + [-9.0] * 5).first()
+        assert r.text == " ".join(["[EMAIL]"] * n)
+        assert found.select(F.size(pii.spans(F.col("found"), [2.0] * 9)[1]).alias("n")).first().n == n
+    assert time.time() - start < 60
+
+
 def test_pii_redaction_and_empty(spark):
-    docs = spark.createDataFrame([(1, "é a@b.cd, 1.2.3.4"), (2, None), (3, "plain")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "é a@b.cd, 1.2.3.4", 5, "x"), (2, None, 6, "y"), (3, "plain", 7, None), (3, "plain", 7, None)], "doc_id long, text string, pii_0 int, found string")
     w = pii.classifier(pii.candidates(docs, "text"))
-    assert [r.text for r in pii.redacted(docs, "text", w).orderBy("doc_id").collect()] == ["é [EMAIL], [IP]", None, "plain"]
-    none = docs.limit(0)
-    assert pii.redacted(none, "text", pii.classifier(pii.candidates(none, "text"))).count() == 0
+    got = pii.redacted(pii.candidates(docs, "text"), "text", w).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, "é [EMAIL], [IP]", 5, "x"), (2, None, 6, "y"), (3, "plain", 7, None), (3, "plain", 7, None)]
+    none = pii.candidates(docs.limit(0), "text")
+    assert pii.redacted(none, "text", pii.classifier(none)).count() == 0
 
 
 def test_em_trusts_labelers_that_agree():
