@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import given_back, prepare
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words, pieces and pairs that a worker keeps at hand (two generations of each); it drops them when its task ends.
@@ -54,31 +54,41 @@ class WordBPE:
 
     def __init__(self, path: str) -> None:
         import regex
-        from tokenizers import Tokenizer
 
-        self._library = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
+        self.path, self._library = path, None
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.names = {i: s for s, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: s for s, i in self.special.items()}
+        self.names = [""] * (1 + max(*self.vocab.values(), *self.special.values()))
+        for s, i in [*self.vocab.items(), *self.special.items()]:
+            self.names[i] = s
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.symbols = _byte_symbols()
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # by both parts' ids in one number
         self.split: dict[int, tuple[int, int, int]] = {}
         for r, (a, b) in enumerate(model["merges"]):
             x, y = self.vocab[a], self.vocab[b]
-            self.rank[x, y] = r
+            self.rank[x << 20 | y] = r
             self.split[self.vocab[a + b]] = (x, y, r)
-        self.size = {i: len(s) for s, i in self.vocab.items()}
+        self.size = [len(s) for s in self.names]
         self._spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self._pairs: dict[int, bool] = {}
         self._sound: dict[int, bool] = {}
         self._known = Cache(self.encode_words)
         self._build_suffixes()
+        self._sound.clear()
+        self._spines.clear()
+
+    def library(self):
+        """The tokenizers library's own encoder, read when it is first needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
     def _build_suffixes(self) -> None:
         """An automaton over the tokens: the state after a prefix gives all tokens that end there, longest first."""
@@ -135,7 +145,7 @@ class WordBPE:
         i = j = 0
         while True:
             (x, x_until), (y, y_until) = a[i], b[j]
-            r = self.rank.get((x, y), float("inf"))
+            r = self.rank.get(x << 20 | y, float("inf"))
             if i == len(a) - 1 and j == len(b) - 1:
                 return r
             # of equal ranks, the merge further left comes first
@@ -185,7 +195,8 @@ class WordBPE:
                 return ["".join([s[b] for b in text.encode()])]
             return ["".join([s[b] for b in w.encode()]) for w in self._words.findall(text)]
         # rarer characters: their classes depend on the Unicode version, so the library's own rules split them
-        return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))]
+        library = self.library()
+        return [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(chunk))]
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words (byte symbols), by one depth-first walk of their trie that carries the last-token states.
@@ -365,6 +376,7 @@ def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
             cache.clear()
             model(path).forget()
             gc.enable()
+            given_back()
 
     def whole(cache: Cache, part: pa.Array) -> list[pa.Array]:
         codes, borders, pieces = coded(part)

@@ -49,7 +49,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes written tables from the shared folder; nothing may read them any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._shared_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def given_back() -> None:
+    """Gives a Python worker's free memory back to the system; the worker goes on to other operators' tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def text_of(column: str):
@@ -68,7 +90,8 @@ def labelled_sample(texts: DataFrame, known: DataFrame, per_class: int, longest:
     picked = [r for y in (0, 1) for r in ids.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class).collect()]
     if not picked:
         return []
-    chosen = texts.sparkSession.createDataFrame([(r.i, r.y) for r in picked], f"i {dict(ids.dtypes)['i']}, y int")
+    columns = [[r.i for r in picked], pa.array([r.y for r in picked], pa.int32())]
+    chosen = texts.sparkSession.createDataFrame(pa.table(columns, ["i", "y"])).select(F.col("i").cast(dict(ids.dtypes)["i"]).alias("i"), "y")
     return sorted(fit.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect(), key=lambda r: (r.y, r.i))
 
 
@@ -121,7 +144,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "edges")
+        old, now = now, written(small.where("u <> v").distinct(), "edges")
+        released(old)
         if (is_ := state(now)) == was:
             break
         was = is_

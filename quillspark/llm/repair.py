@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _CACHES, _COMMON, Cache, coded, default_vocabulary, gathered, slices
-from .common import prepare, shared_dir
+from .common import given_back, prepare, shared_dir
 
 SEGMENT = 1 << 20
 MOST, LEAST = 4000, 12
@@ -278,6 +278,7 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
             cache.clear()
             library.forget()
             gc.enable()
+            given_back()
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id")
