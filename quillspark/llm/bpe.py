@@ -29,9 +29,9 @@ from .common import given_back, prepare
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words, pieces and pairs that a worker keeps at hand (two generations of each); it drops them when its task ends.
-CACHE = 30_000
+CACHE = 50_000
 #: Bytes of texts that are encoded together.
-GATHER = 8_000_000
+GATHER = 5_000_000
 #: Letters and signs whose classes and lower case no Unicode version changes, and that are their own NFC.
 _COMMON = re.compile("[!-~\xa1-\xac\xae-\u012f\u0132-\u017f]+")
 
@@ -74,10 +74,11 @@ class WordBPE:
             self.rank[x << 20 | y] = r
             self.split[self.vocab[a + b]] = (x, y, r)
         self.size = [len(s) for s in self.names]
+        self.numbers = [str(i) for i in range(len(self.names))]
         self._spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self._pairs: dict[int, bool] = {}
         self._sound: dict[int, bool] = {}
-        self._known = Cache(self.encode_words)
+        self._known = Cache(self._shown)
         self._build_suffixes()
         self._sound.clear()
         self._spines.clear()
@@ -257,24 +258,47 @@ class WordBPE:
                 return t
         raise ValueError(f"no token ends at {depth} of {word!r}")
 
+    def pieces_of(self, chunk: str) -> list[str | int]:
+        """The words of a piece without white space, and the ids of special tokens in it."""
+        if "<|" not in chunk or not self._special:
+            return self.words_of(chunk)
+        found: list[str | int] = []
+        for piece in self._special.split(chunk):
+            found += [self.special[piece]] if piece in self.special else self.words_of(piece)
+        return found
+
     def encode_chunks(self, chunks: list[str]) -> dict[str, list[int]]:
-        """Ids of pieces of text without white space; the words of all pieces that were not met lately share one trie."""
-        parts: dict[str, list] = {}
+        """Ids of pieces of text without white space; the words of all pieces share one trie."""
+        parts = {chunk: self.pieces_of(chunk) for chunk in chunks}
+        ids = self.encode_words(list({w for found in parts.values() for w in found if isinstance(w, str)}))
+        return {chunk: [x for p in found for x in ((p,) if isinstance(p, int) else ids[p])] for chunk, found in parts.items()}
+
+    def _shown(self, words: list[str]) -> dict[str, tuple[int, str, str]]:
+        """(number of ids, ids as text, decoded text) of words."""
+        numbers, names = self.numbers, self.names
+        return {w: (len(ids), " ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids])) for w, ids in self.encode_words(words).items()}
+
+    def show_chunks(self, chunks: list[str]) -> dict[str, tuple[int, str, str]]:
+        """The same of pieces of text; a piece that is one word has that word's own entry."""
+        parts: dict[str, str | list] = {}
         words: set[str] = set()
-        known = self._known
         for chunk in chunks:
-            found: list = []
-            for piece in self._special.split(chunk) if "<|" in chunk and self._special else [chunk]:
-                if piece in self.special:
-                    found.append(self.special[piece])
-                else:
-                    own = self.words_of(piece)
-                    found += own
-                    words.update(own)
-            parts[chunk] = found
-        known.fill(words)
-        ids = known.young
-        return {chunk: ids[found[0]] if len(found) == 1 and found[0].__class__ is str else [x for p in found for x in ((p,) if p.__class__ is int else ids[p])] for chunk, found in parts.items()}
+            if chunk.isascii() and chunk.isalpha():
+                own = parts[chunk] = chunk.lower()
+                words.add(own)
+            else:
+                found = parts[chunk] = self.pieces_of(chunk)
+                words.update([w for w in found if w.__class__ is str])
+        self._known.fill(words)
+        known, numbers, names = self._known.young, self.numbers, self.names
+        out = {}
+        for chunk, found in parts.items():
+            if found.__class__ is str:
+                out[chunk] = known[found]
+            else:
+                n, ids, texts = zip(*[known[w] if w.__class__ is str else (1, numbers[w], names[w]) for w in found]) if found else ((), (), ())
+                out[chunk] = sum(n), " ".join(ids), " ".join(texts)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder, so the library joins the tokens' names by spaces."""
@@ -317,8 +341,7 @@ def _texts_cache(path: str) -> Cache:
     """Piece -> (number of its ids, its ids as text, its decoded text)."""
 
     def make(chunks: list[str]) -> dict:
-        bpe = model(path)
-        return {c: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)) for c, ids in bpe.encode_chunks(chunks).items()}
+        return model(path).show_chunks(chunks)
 
     return _CACHES.setdefault(("texts", path), Cache(make, CACHE // 2))
 
