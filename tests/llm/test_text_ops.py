@@ -165,19 +165,55 @@ def test_topk_equals_brute_force(spark, monkeypatch, n, d, few):
     rows = [(i, [float(v) for v in x[i]]) for i in range(n)]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
     got = {}
-    for r in topk.top_k(df, df.where(f"vec_id % {few} = 0"), vector_block=max(4, n // 3), query_block=max(2, n // 40)).collect():
+    for r in topk.top_k(df, df.where(f"vec_id % {few} = 0"), vector_block=max(4, n // 3)).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert {q: sorted(v) for q, v in got.items()} == brute(list(range(n)), x, range(0, n, few), 10)
 
 
 def test_nra_stops_early():
     rng = np.random.default_rng(0)
-    x = np.floor(100 * rng.pareto(1.0, (4000, 6)))
-    q = np.abs(np.floor(10 * rng.normal(size=(5, 6))))
-    a, b, s = topk.search(q, np.arange(5), x, np.arange(4000), 10)
+    x = np.floor(100 * rng.pareto(1.0, (4000, 6))).astype(np.int64)
+    q = np.abs(np.floor(10 * rng.normal(size=(5, 6)))).astype(np.int64)
+    read = []
+    a, b, s = topk.search(topk.Lists(x, np.arange(4000)), q, np.arange(5), 10, read=read)
     for i in range(5):
         want = np.sort(np.delete(x @ q[i], i))[::-1][:10]
         assert (np.sort(s[a == i])[::-1] == want).all()
+    assert len(read) == 5 and all(t < 4000 and rows < 200 for _, t, rows in read)
+
+
+def test_nra_is_entered_for_small_blocks(spark, small):
+    rows = topk.whole(spark.read.parquet(f"{small}/embeddings.parquet"), "vec_id", "embedding").orderBy("vec_id").collect()
+    x, ids = np.array([r.v for r in rows], np.int64), np.array([r.vec_id for r in rows])
+    at, read = np.flatnonzero(ids % 100 == 0), []
+    a, b, s = topk.search(topk.Lists(x, ids), x[at], ids[at], 10, read=read)
+    assert sorted(q for q, _, _ in read) == list(range(len(at))) and all(t >= 1 for _, t, _ in read)
+    for i, q in enumerate(at):
+        order = np.lexsort((ids, -(x @ x[q])))
+        want = [j for j in order if j != q][:10]
+        mine = b[a == i]
+        assert list(mine[np.lexsort((ids[mine], -s[a == i]))]) == want
+
+
+def test_topk_scores_are_exact_or_refused(spark):
+    v = lambda rows: spark.createDataFrame(rows, "vec_id long, v array<long>")
+    df = v([(0, [2**20 + 1]), (1, [2**40 + 1]), (2, [2**40]), (3, [-(2**40)])])
+    got = topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 1152922604119523329), (2, (2**20 + 1) * 2**40), (3, -(2**20 + 1) * 2**40)]
+    large = v([(0, [2**40, 1]), (1, [2**40, 1])])
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(large, large).collect()
+
+
+def test_topk_repeated_queries_and_null_ids(spark):
+    rows = [(100, [1, 2]), (100, [1, 2]), (100, [-1, 0]), (None, [9, 9]), *[(i, [i % 5, 1]) for i in range(1, 30)], (7, [2, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.top_k(df, df.where("vec_id = 100 OR vec_id IS NULL"), k=3, vector_block=8).collect()
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got)
+    first = sorted((-(v[0] + 2 * v[1]), i) for i, v in rows if i not in (100, None))[:3]
+    other = sorted((v[0], i) for i, v in rows if i not in (100, None))[:3]
+    want = [(100, k + 1, i, -s) for k, (s, i) in enumerate(first)] + [(100, k + 1, i, -s) for k, (s, i) in enumerate(other)]
+    assert found == sorted(want)
 
 
 def test_topk_leaves_out_what_is_not_finite(spark):
