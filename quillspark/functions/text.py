@@ -13,17 +13,40 @@ from pyspark.sql import functions as F
 ENTITIES = [
     ("&apos;", "'"), ("&#039;", "'"), ("&#39;", "'"), ("&#8217;", "'"), ("&#8216;", "'"), ("&quot;", '"'), ("&#034;", '"'), ("&#8220;", '"'), ("&#8221;", '"'), ("&amp;", "&"), ("&#8230;", "..."),
 ]
+NO_WORD_AFTER = "(?![0-9A-Za-z_])"
 # References that lost their marks and grew together with a word (group references as in Java).
 GLUED = [
     (r"apos([A-Z])", r"'$1"), (r"([A-Za-z])apos(s|t|m|d|re|ve|ll)(?![0-9A-Za-z_])", r"$1'$2"), (r"([A-Za-z])apos(?![0-9A-Za-z_])", r"$1'"), (r"quot([A-Z])", r'"$1'), (r"([A-Za-z.,!?])quot(?![0-9A-Za-z_])", r'$1"'),
 ]
 # Word lists of the text features.
-ATTRIBUTION = "according\\s+to|said|says|told|reported|stated|wrote|added|noted|confirmed|announced|testified|acknowledged".split("|")
-HEDGES = "might|could|reportedly|allegedly|apparently|seemingly|suggests|appears\\s+to|possibly|perhaps|likely|some\\s+say".split("|")
-CERTAINTY = "clearly|obviously|undeniable|undeniably|proves|proven|definitely|certainly|without\\s+question|no\\s+doubt|absolutely|indisputable".split("|")
-FUNCTION_WORDS = "would could may might must shall cannot ought also going gonna get gets got getting like us one two three four five six seven eight nine ten hundred thousand million billion trillion first second third last".split()
-FEATURE_WORDS = "according said says told reported stated wrote added noted confirmed announced testified acknowledged might could may reportedly allegedly apparently seemingly suggests appears possibly perhaps likely clearly obviously undeniable undeniably proves proven definitely certainly absolutely indisputable".split()
-CAPS_BOILERPLATE = "related read click donate trending subscribe advertisement share follow newsletter news watch video update updated breaking exclusive editor note photo photos image source".split()
+ATTRIBUTION = [
+    r"according\s+to", "said", "says", "told", "reported", "stated", "wrote", "added", "noted", "confirmed",
+    "announced", "testified", "acknowledged",
+]
+HEDGES = [
+    "might", "could", "reportedly", "allegedly", "apparently", "seemingly", "suggests", r"appears\s+to", "possibly",
+    "perhaps", "likely", r"some\s+say",
+]
+CERTAINTY = [
+    "clearly", "obviously", "undeniable", "undeniably", "proves", "proven", "definitely", "certainly",
+    r"without\s+question", r"no\s+doubt", "absolutely", "indisputable",
+]
+FUNCTION_WORDS = [
+    "would", "could", "may", "might", "must", "shall", "cannot", "ought", "also", "going", "gonna", "get", "gets",
+    "got", "getting", "like", "us", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten",
+    "hundred", "thousand", "million", "billion", "trillion", "first", "second", "third", "last",
+]
+FEATURE_WORDS = [
+    "according", "said", "says", "told", "reported", "stated", "wrote", "added", "noted", "confirmed", "announced",
+    "testified", "acknowledged", "might", "could", "may", "reportedly", "allegedly", "apparently", "seemingly",
+    "suggests", "appears", "possibly", "perhaps", "likely", "clearly", "obviously", "undeniable", "undeniably",
+    "proves", "proven", "definitely", "certainly", "absolutely", "indisputable",
+]
+CAPS_BOILERPLATE = [
+    "related", "read", "click", "donate", "trending", "subscribe", "advertisement", "share", "follow", "newsletter",
+    "news", "watch", "video", "update", "updated", "breaking", "exclusive", "editor", "note", "photo", "photos",
+    "image", "source",
+]
 MASKS = r"(?i)<copyright>|<twitter>|<url>|(?<![\p{L}\p{N}_])<?selfref>?(?![\p{L}\p{N}_])"
 MASKS_PLAIN = r"(?i)<copyright>|<twitter>|<url>|<?selfref>?"
 WORD = r"[A-Za-z]+(?:['\-][A-Za-z]+)*"
@@ -91,14 +114,18 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
+#: A word with what opens its sentence, if anything does; and a text that opens with a word.
+OPENED = r"(?:(?:^|[.!?:;])[ \"'“(\[*]*)?" + WORD
+STARTS = r"^[ \"'“(\[*]*[A-Za-z]"
+
+
 def proper_flags(text: Column) -> Column:
-    """Array of (word, initial, proper): a name is a title-case word inside a sentence, or a title-case or all-caps word
-    whose lower-case form was such a name elsewhere in the text. One-letter words are never names."""
-    first = F.regexp_extract_all(text, F.lit(r"(?:(?:^|[.!?:;])[\s\"'“”(\[]*+|[^A-Za-z]|(?<![A-Za-z]))?" + f"({WORD})"), F.lit(0))
-    pairs = F.transform(F.filter(first, lambda x: x.rlike("[A-Za-z]")), lambda x: F.struct(F.regexp_extract(x, f"({WORD})$", 1).alias("w"), (x.rlike("^[.!?:;]")).alias("initial")))
-    pairs = F.transform(pairs, lambda p, i: F.struct(p["w"].alias("w"), (p["initial"] | ((i == 0) & text.rlike("^[\\s\"'“”(\\[]*[A-Za-z]"))).alias("initial")))
-    title = lambda w: w.rlike(r"^[A-Z][a-z]") & (F.length(w) > 1)
-    upper = lambda w: (F.upper(w) == w) & (F.length(w) > 1)
+    """Array of (w, initial, proper) for each word: a name is a word with a capital first letter inside a sentence, or a
+    capitalised or all-caps word whose lower-case form was such a name elsewhere in the text."""
+    first = F.regexp_extract_all(text, F.lit(OPENED), F.lit(0))
+    pairs = F.transform(first, lambda x, i: F.struct(F.regexp_extract(x, f"({WORD})$", 1).alias("w"), (x.rlike("^[.!?:;]") | ((i == 0) & text.rlike(STARTS))).alias("initial")))
+    title = lambda w: w.rlike("^[A-Z]") & (F.upper(w) != w)
+    upper = lambda w: F.upper(w) == w
     names = F.array_distinct(F.transform(F.filter(pairs, lambda p: title(p["w"]) & ~p["initial"]), lambda p: F.lower(p["w"])))
     state = F.struct(pairs.alias("p"), names.alias("n"))
     done = F.transform(F.array(state), lambda s: F.transform(s["p"], lambda p: F.struct(p["w"].alias("w"), p["initial"].alias("initial"), ((title(p["w"]) | upper(p["w"])) & F.array_contains(s["n"], F.lower(p["w"]))).alias("proper"))))

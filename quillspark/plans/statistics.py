@@ -9,7 +9,7 @@ from quillspark.functions import text as tx
 from quillspark.functions.stats import mean_rank, spearman_brown, wilson, zscore
 from quillspark.operators import agreement as ag
 from quillspark.operators import partisanship as pt
-from quillspark.sources.tables import table
+from quillspark.sources.tables import stored, table
 
 from .base import ARTICLES, BOTH, TERMS, articles, outlets, query
 from .relational import HIT
@@ -143,12 +143,14 @@ def q32(spark, d):
     return k.agg(F.count("*").alias("n"), r6(F.corr("n_chars", "lines")).alias("pearson"), r6(F.corr("r_n_chars", "r_lines")).alias("spearman"))
 
 
-_HALVES = "halves AS (SELECT rep, source, side, row_number() OVER (PARTITION BY rep, side ORDER BY md5(source || '-' || rep), source) % 2 AS half FROM outlets, range(1, 21) t(rep))"
+#: Replicates of split halves, bootstraps and permutations.
+HALVES, BOOTS, PERMUTATIONS = 200, 1000, 40
+_HALVES = f"halves AS (SELECT rep, source, side, row_number() OVER (PARTITION BY rep, side ORDER BY md5(source || '-' || rep), source) % 2 AS half FROM outlets, range(1, {HALVES + 1}) t(rep))"
 
 
 @query("q33_split_half_reliability", f"WITH {COUNTS}, {_HALVES}, weights AS (SELECT CAST(rep * 2 + half AS INTEGER) AS rep, source, side, 1 AS m FROM halves), {DELTA}, r AS (SELECT x.rep // 2 AS rep, corr(x.delta, y.delta) AS r FROM deltas x JOIN deltas y ON x.rep % 2 = 0 AND y.rep = x.rep + 1 AND x.cluster = y.cluster GROUP BY 1) SELECT count(*) AS reps, round(avg(r), 6) AS r, round(avg(2 * r / (1 + r)), 5) AS reliability FROM r")
 def q33(spark, d):
-    reps = pt.replicates(sides(spark), 20)
+    reps = pt.replicates(sides(spark), HALVES)
     half = pt.shuffled(F.md5(F.concat_ws("-", F.col("source"), F.col("rep").cast("string"))), "rep", "side") % 2
     w = reps.withColumn("half", half).select((F.col("rep") * 2 + F.col("half")).alias("rep"), "source", "side", F.lit(1).alias("m"))
     x = pt.delta(pt.shares(counts(spark, d)), w, ALPHA).groupBy(F.floor(F.col("rep") / 2).alias("rep"), "cluster").agg(F.max(F.when(F.col("rep") % 2 == 0, F.col("delta"))).alias("a"), F.max(F.when(F.col("rep") % 2 == 1, F.col("delta"))).alias("b"))
@@ -172,14 +174,14 @@ def q34(spark, d):
     return b.select(r6((msb - msw) / (msb + (n0 - 1) * msw)).alias("icc"), r6(F.col("ssq") / (F.col("qq") - F.col("nn") * F.col("m") * F.col("m"))).alias("eta2"))
 
 
-_BOOT = """ranked AS (SELECT source, side, row_number() OVER (PARTITION BY side ORDER BY source) AS k, count(*) OVER (PARTITION BY side) AS size FROM outlets),
-  draws AS (SELECT CAST(rep AS INTEGER) AS rep, side, CAST('0x' || substr(md5(side || '-' || rep || '-' || k), 1, 6) AS BIGINT) % size + 1 AS k FROM ranked, range(1, 21) t(rep)),
+_BOOT = f"""ranked AS (SELECT source, side, row_number() OVER (PARTITION BY side ORDER BY source) AS k, count(*) OVER (PARTITION BY side) AS size FROM outlets),
+  draws AS (SELECT CAST(rep AS INTEGER) AS rep, side, CAST('0x' || substr(md5(side || '-' || rep || '-' || k), 1, 6) AS BIGINT) % size + 1 AS k FROM ranked, range(1, {BOOTS + 1}) t(rep)),
   weights AS (SELECT rep, source, ranked.side, count(*) AS m FROM draws JOIN ranked ON draws.side = ranked.side AND draws.k = ranked.k GROUP BY ALL)"""
 
 
 @query("q35_bootstrap_ci", f"WITH {COUNTS}, {_BOOT}, {DELTA} SELECT cluster, count(*) AS reps, round(median(delta), 6) AS middle, round(quantile_cont(delta, 0.025), 6) AS lo, round(quantile_cont(delta, 0.975), 6) AS hi FROM deltas GROUP BY cluster")
 def q35(spark, d):
-    x = pt.delta(pt.shares(counts(spark, d)), pt.bootstrap(sides(spark), 20), ALPHA)
+    x = pt.delta(pt.shares(counts(spark, d)), pt.bootstrap(sides(spark), BOOTS), ALPHA)
     p = lambda q: r6(F.percentile("delta", F.lit(q)))
     return x.groupBy("cluster").agg(F.count("*").alias("reps"), r6(F.median("delta")).alias("middle"), p(0.025).alias("lo"), p(0.975).alias("hi"))
 
@@ -197,7 +199,7 @@ _W1 = "weights AS (SELECT 0 AS rep, cluster, source, side, 1 AS m FROM cells)"
 
 
 def framing_rows(spark, d) -> DataFrame:
-    return pt.framing_words(cube(spark, d), sides(spark), 200, 5)
+    return stored(pt.framing_words(cube(spark, d), sides(spark), 200, 5), "framing-rows")
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -225,14 +227,14 @@ def q36b(spark, d):
 
 @query("q36c_word_lift", f"WITH {ARTICLES}, {CUBE}, c AS (SELECT cluster, word, sum(n) AS n FROM cube GROUP BY ALL) SELECT cluster, word, CAST(n AS BIGINT) AS n, round((n / sum(n) OVER (PARTITION BY cluster)) / (sum(n) OVER (PARTITION BY word) / sum(n) OVER ()), 6) AS lift FROM c QUALIFY n >= 20")
 def q36c(spark, d):
-    c = cube(spark, d).groupBy("cluster", "word").agg(F.sum("n").alias("n"))
+    c = stored(cube(spark, d).groupBy("cluster", "word").agg(F.sum("n").alias("n")), "cluster-words")
     by_c, by_w = c.groupBy("cluster").agg(F.sum("n").alias("cn")), c.groupBy("word").agg(F.sum("n").alias("wn"))
     total = by_c.agg(F.sum("cn").alias("tn"))
     return c.where("n >= 20").join(F.broadcast(by_c), "cluster").join(by_w, "word").crossJoin(F.broadcast(total)).select("cluster", "word", "n", r6((F.col("n") / F.col("cn")) / (F.col("wn") / F.col("tn"))).alias("lift"))
 
 
-_PERM = """lr AS (SELECT *, count(*) FILTER (WHERE side = 'left') OVER (PARTITION BY cluster) AS nleft FROM cells WHERE side <> 'centre'),
-  weights AS (SELECT 0 AS rep, cluster, source, side, 1 AS m FROM lr UNION ALL SELECT CAST(rep AS INTEGER), cluster, source, CASE WHEN row_number() OVER (PARTITION BY rep, cluster ORDER BY md5(source || '-' || rep), source) <= nleft THEN 'left' ELSE 'right' END, 1 FROM lr, range(1, 11) t(rep))"""
+_PERM = f"""lr AS (SELECT *, count(*) FILTER (WHERE side = 'left') OVER (PARTITION BY cluster) AS nleft FROM cells WHERE side <> 'centre'),
+  weights AS (SELECT 0 AS rep, cluster, source, side, 1 AS m FROM lr UNION ALL SELECT CAST(rep AS INTEGER), cluster, source, CASE WHEN row_number() OVER (PARTITION BY rep, cluster ORDER BY md5(source || '-' || rep), source) <= nleft THEN 'left' ELSE 'right' END, 1 FROM lr, range(1, {PERMUTATIONS + 1}) t(rep))"""
 
 
 @query("q37_framing_permuted", f"{_ROWS}, {_PERM}, {_SIDE} SELECT cluster, round(max(score) FILTER (WHERE rep = 0), 6) AS observed, round(avg(score) FILTER (WHERE rep > 0), 6) AS null_mean, round(max(score) FILTER (WHERE rep = 0) - avg(score) FILTER (WHERE rep > 0), 6) AS adjusted FROM scores GROUP BY cluster")
@@ -240,7 +242,7 @@ def q37(spark, d):
     rows = framing_rows(spark, d)
     lr = cells_of(rows).where("side <> 'centre'")
     lr = lr.withColumn("nleft", F.count_if(F.col("side") == "left").over(Window.partitionBy("cluster")))
-    perm = pt.replicates(lr, 10).withColumn("k", pt.shuffled(F.md5(F.concat_ws("-", F.col("source"), F.col("rep").cast("string"))), "rep", "cluster"))
+    perm = pt.replicates(lr, PERMUTATIONS).withColumn("k", pt.shuffled(F.md5(F.concat_ws("-", F.col("source"), F.col("rep").cast("string"))), "rep", "cluster"))
     w = lr.select(F.lit(0).alias("rep"), "cluster", "source", "side", F.lit(1).alias("m")).unionByName(perm.select("rep", "cluster", "source", F.when(F.col("k") <= F.col("nleft"), "left").otherwise("right").alias("side"), F.lit(1).alias("m")))
     s = pt.divergence(pt.framing(rows, w, ALPHA, 3))
     seen, null = F.max(F.when(F.col("rep") == 0, F.col("score"))), F.avg(F.when(F.col("rep") > 0, F.col("score")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import sampling
-from quillspark.sources.tables import table
+from quillspark.sources.tables import stored, table
 
 from .base import ARTICLES, BOTH, articles, query
 
@@ -16,48 +16,115 @@ EXCLUDED = sorted({*tx.FUNCTION_WORDS, *tx.FEATURE_WORDS, *STOP})
 _in = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
 CLEAN = r"""clean AS (SELECT doc_id, source, cluster, coalesce(array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(replace(replace(text, '’', ''''), '‘', ''''), '<copyright>|<twitter>|<url>|<?selfref>?', ' ', 'gi'), chr(10)),
   lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), lambda x: CASE WHEN contains('.!?:;,"'')]”', right(x, 1)) THEN x ELSE x || '.' END), ' '), '') AS t FROM articles)"""
-TOKENS = r"tokens AS (SELECT doc_id, source, cluster, unnest(regexp_extract_all(t, '[A-Za-z]+(?:[''\-][A-Za-z]+)*')) AS w FROM clean)"
+_OPENED = tx.OPENED.replace("'", "''")
+#: Words with their place in the sentence, then with the names of their text.
+TOKENS = rf"""opened AS (SELECT doc_id, source, cluster, t, list_transform(regexp_extract_all(t, '{_OPENED}'), lambda x, i: {{'w': regexp_extract(x, '({tx.WORD.replace("'", "''")})$', 1),
+    'initial': regexp_matches(x, '^[.!?:;]') OR (i = 1 AND regexp_matches(t, '{tx.STARTS.replace("'", "''")}'))}}) AS toks FROM clean),
+  named AS (SELECT *, list_transform(list_filter(toks, lambda p: regexp_matches(p.w, '^[A-Z]') AND upper(p.w) <> p.w AND NOT p.initial), lambda p: lower(p.w)) AS names FROM opened),
+  tokens AS (SELECT doc_id, source, cluster, p.w AS w, lower(p.w) AS low, ((regexp_matches(p.w, '^[A-Z]') AND upper(p.w) <> p.w) OR upper(p.w) = p.w) AND list_contains(names, lower(p.w)) AS proper FROM (SELECT doc_id, source, cluster, names, unnest(toks) AS p FROM named))"""
 CODE = "CAST('0x' || substr(md5({w}), 1, 6) AS BIGINT)"
 #: A made lexicon: a third of all words, scores in thousandths (so that sums are exact) from their md5.
-LEXICON = f"lexicon AS (SELECT w AS term, ({CODE.format(w='w')} // 3) % 2001 - 1000 AS valence, ({CODE.format(w='w')} // 7) % 2001 - 1000 AS arousal FROM (SELECT DISTINCT lower(w) AS w FROM tokens) WHERE {CODE.format(w='w')} % 3 = 0)"
-FEATURES = f"WITH {ARTICLES}, {CLEAN}, {TOKENS}, {LEXICON}"
+LEXICON = f"lexicon AS (SELECT w AS term, ({CODE.format(w='w')} // 3) % 2001 - 1000 AS valence, ({CODE.format(w='w')} // 7) % 2001 - 1000 AS arousal, ({CODE.format(w='w')} // 11) % 2001 - 1000 AS dominance FROM (SELECT DISTINCT low AS w FROM tokens) WHERE {CODE.format(w='w')} % 3 = 0)"
+#: Lexicon words of four letters and more that are mostly written in lower case: their capitals are emphasis.
+SHOUT = f"""shout AS (SELECT low AS word FROM tokens JOIN lexicon ON low = term WHERE length(w) >= 4 AND low NOT IN {_in(sorted({*EXCLUDED, *tx.CAPS_BOILERPLATE}))} GROUP BY low HAVING 1.0 * count(*) FILTER (WHERE w = upper(w)) / count(*) < 0.5)"""
+FEATURES = f"WITH {ARTICLES}, {CLEAN}, {TOKENS}, {LEXICON}, {SHOUT}"
+#: Terms of a lexicon that are broadcast at most (some 60 bytes each); a larger one is joined by a shuffle.
+BROADCAST_TERMS = 500_000
 
 
 def clean(spark, d) -> DataFrame:
-    return articles(spark, d).select("doc_id", "source", "cluster", tx.cleaned(F.col("text"), tx.MASKS_PLAIN).alias("t"))
+    return articles(spark, d).select("doc_id", "source", "cluster", tx.cleaned(F.col("text"), tx.MASKS_PLAIN).alias("t"), tx.masked(F.col("text"), tx.MASKS_PLAIN).alias("n_masked"))
 
 
 def tokens(spark, d) -> DataFrame:
-    return clean(spark, d).select("doc_id", "source", "cluster", F.explode(tx.words(F.col("t"))).alias("w"))
+    """(doc_id, w, initial): each word, and whether it opens a sentence."""
+    t = F.col("t")
+    rows = clean(spark, d).select("doc_id", t.rlike(tx.STARTS).alias("starts"), F.posexplode(F.regexp_extract_all(t, F.lit(tx.OPENED), F.lit(0))).alias("i", "x"))
+    return rows.select("doc_id", F.ltrim("x", F.lit(" .!?:;\"'“([*")).alias("w"), (F.left("x", F.lit(1)).isin(*".!?:;") | ((F.col("i") == 0) & F.col("starts"))).alias("initial"))
 
 
-def lexicon(spark, d) -> DataFrame:
-    code = F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("long")
-    w = tokens(spark, d).select(F.lower("w").alias("w")).distinct().withColumn("code", code).where("code % 3 = 0")
-    return w.select(F.col("w").alias("term"), (F.floor(F.col("code") / 3) % 2001 - 1000).alias("valence"), (F.floor(F.col("code") / 7) % 2001 - 1000).alias("arousal"))
+def word_rows(spark, d) -> DataFrame:
+    """(doc_id, low, n, caps, n_names): a document's words, counted before anything is sent: how often it has each, how
+    often in capitals without being a name, and how often as a name.
+
+    A name is a word that stands with a capital first letter inside a sentence somewhere in the document, where it's
+    written so or in capitals. Rows come together by document, so the sums by document that follow need no other shuffle.
+    """
+    w = F.col("w")
+    upper = w == F.upper(w)
+    title = w.rlike("^[A-Z]") & ~upper
+    forms = tokens(spark, d).select("doc_id", F.lower(w).alias("low"), (title & ~F.col("initial")).alias("named"), (title | upper).alias("formed"), (upper & (F.length(w) >= 4)).alias("shout"))
+    by = forms.groupBy("doc_id", "low").agg(F.count("*").alias("n"), F.count_if("formed").alias("formed"), F.count_if("shout").alias("caps"), F.bool_or("named").alias("named"))
+    unless = lambda c: F.when(F.col("named"), 0).otherwise(F.col(c)).cast("long")
+    return by.select("doc_id", "low", "n", unless("caps").alias("caps"), F.col("caps").alias("all_caps"), F.when(F.col("named"), F.col("formed")).otherwise(0).cast("long").alias("n_names"))
+
+
+def made_lexicon(words: DataFrame) -> DataFrame:
+    """(term, valence, arousal, dominance) for a third of the words (low)."""
+    code = F.conv(F.substring(F.md5("low"), 1, 6), 16, 10).cast("long")
+    w = words.select("low").distinct().withColumn("code", code).where("code % 3 = 0")
+    score = lambda by: F.floor(F.col("code") / by) % 2001 - 1000
+    return w.select(F.col("low").alias("term"), score(3).alias("valence"), score(7).alias("arousal"), score(11).alias("dominance"))
+
+
+def known(words: DataFrame, lexicon: DataFrame, how: str = "left") -> DataFrame:
+    """Words (low) with their lexicon entry. A lexicon of a checked size is broadcast, so hot words stay where they are."""
+    return words.join(sized(lexicon), F.col("low") == F.col("term"), how)
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """The table, marked for a broadcast if it has few enough rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else table
+
+
+def shouted_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(term): lexicon words that are mostly written in lower case and belong to no site's furniture."""
+    c = words.where(F.length("low") >= 4).groupBy("low").agg(F.sum("n").alias("n"), F.sum("all_caps").alias("caps"))
+    c = c.where((F.col("caps") / F.col("n") < 0.5) & ~F.col("low").isin(*EXCLUDED, *tx.CAPS_BOILERPLATE))
+    return known(c, lexicon, "inner").select(F.col("low").alias("shouted"))
 
 
 _N = lambda words: f"len(regexp_extract_all(t, '(?i)\\b(?:{'|'.join(words)})\\b'))"
+_CONTENT = f"NOT k.proper AND k.low NOT IN {_in(EXCLUDED)}"
+_MEAN = lambda c: f"CAST(sum(l.{c}) FILTER (WHERE {_CONTENT}) AS BIGINT) / (1000.0::DOUBLE * nullif(count(l.term) FILTER (WHERE {_CONTENT}), 0)) AS {c}"
+_SENTENCES = "greatest(1, len(regexp_extract_all(t, '[.!?]+(?:\\s|$|[\"'')\\]”])')))"
 
 
-@query("q13_article_features", FEATURES + rf""", v AS (SELECT t.doc_id, count(*) AS n_tokens, count(l.term) FILTER (WHERE lower(t.w) NOT IN {_in(EXCLUDED)}) AS n_matched, sum(l.valence) FILTER (WHERE lower(t.w) NOT IN {_in(EXCLUDED)}) AS valence,
-  sum(l.arousal) FILTER (WHERE lower(t.w) NOT IN {_in(EXCLUDED)}) AS arousal, sum(l.arousal) AS arousal_all, count(l.term) AS n_all FROM tokens t LEFT JOIN lexicon l ON lower(t.w) = l.term GROUP BY t.doc_id)
-  SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_matched, 0) AS n_matched, CAST(valence AS BIGINT) / (1000.0::DOUBLE * nullif(n_matched, 0)) AS valence, CAST(arousal AS BIGINT) / (1000.0::DOUBLE * nullif(n_matched, 0)) AS arousal, CAST(arousal_all AS BIGINT) / (1000.0::DOUBLE * nullif(n_all, 0)) AS arousal_all, round({_N(tx.ATTRIBUTION)} / n_tokens, 6) AS attribution,
-  round(({_N(tx.HEDGES)} + len(regexp_extract_all(t, '\bmay\b'))) / n_tokens, 6) AS hedging, round({_N(tx.CERTAINTY)} / n_tokens, 6) AS certainty, len(regexp_extract_all(t, '["“”]')) / 2.0 AS quote_pairs,
-  (length(t) - length(replace(t, '!', ''))) AS exclamations, round(ln(n_tokens), 6) AS log_length, coalesce(n_matched, 0) >= 50 AS keep FROM clean LEFT JOIN v USING (doc_id)""")
+@query("q13_article_features", FEATURES + rf""", v AS (SELECT k.doc_id, count(*) AS n_tokens, count(l.term) FILTER (WHERE {_CONTENT}) AS n_matched, count(l.term) FILTER (WHERE k.proper) AS n_proper_skipped, {_MEAN('valence')}, {_MEAN('arousal')}, {_MEAN('dominance')},
+    CAST(sum(l.arousal) FILTER (WHERE NOT k.proper) AS BIGINT) / (1000.0::DOUBLE * nullif(count(l.term) FILTER (WHERE NOT k.proper), 0)) AS arousal_all, count(*) FILTER (WHERE k.w = upper(k.w) AND length(k.w) >= 4 AND s.word IS NOT NULL AND NOT k.proper) AS shouted
+    FROM tokens k LEFT JOIN lexicon l ON k.low = l.term LEFT JOIN shout s ON k.low = s.word GROUP BY k.doc_id)
+  SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_matched, 0) AS n_matched, coalesce(n_proper_skipped, 0) AS n_proper_skipped, 0 AS n_masked, CASE WHEN n_tokens > 0 THEN {_SENTENCES} END AS n_sentences, valence, arousal, dominance, arousal_all, round({_N(tx.ATTRIBUTION)} / n_tokens, 6) AS attribution,
+  round(({_N(tx.HEDGES)} + len(regexp_extract_all(t, '\bmay\b'))) / n_tokens, 6) AS hedging, round({_N(tx.CERTAINTY)} / n_tokens, 6) AS certainty, round(shouted / n_tokens, 6) AS caps_ratio, round((length(t) - length(replace(t, '!', ''))) / {_SENTENCES}, 6) * (n_tokens > 0)::INT AS exclamation_rate,
+  CASE WHEN n_tokens > 0 THEN len(regexp_extract_all(t, '["“”]')) / 2.0 END AS quote_pairs, round(ln(n_tokens), 6) AS log_length, coalesce(n_matched, 0) >= 50 AS keep FROM clean LEFT JOIN v USING (doc_id)""")
 def q13(spark, d):
-    lex = lexicon(spark, d)
-    own = tokens(spark, d).select("doc_id", F.lower("w").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("k"))
-    rows = own.join(lex, own.w == lex.term, "left")
-    content = ~F.col("w").isin(*EXCLUDED) & F.col("term").isNotNull()
-    mean = lambda c, ok: F.sum(F.when(ok, F.col(c) * F.col("k"))) / F.nullif(F.lit(1000.0) * F.sum(F.when(ok, F.col("k")).otherwise(0)), F.lit(0.0))
-    v = rows.groupBy("doc_id").agg(F.sum("k").alias("n_tokens"), F.sum(F.when(content, F.col("k")).otherwise(0)).alias("n_matched"), mean("valence", content).alias("valence"), mean("arousal", content).alias("arousal"), mean("arousal", F.col("term").isNotNull()).alias("arousal_all"))
+    return article_features(clean(spark, d), stored(word_rows(spark, d), "word-rows"))
+
+
+def article_features(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """All features of an article in one row. texts: doc_id, t, n_masked; words: as word_rows gives them.
+
+    Names are left out of the lexicon means and of the capitals; grammar words and the words that define the other
+    features are left out of the means. An article without words has null for all but its counts.
+    """
+    lex = made_lexicon(words)
+    rows = known(words, lex).join(sized(shouted_words(words, lex)), F.col("low") == F.col("shouted"), "left")
+    in_lexicon, k = F.col("term").isNotNull(), F.col("n") - F.col("n_names")
+    content = ~F.col("low").isin(*EXCLUDED) & in_lexicon
+    total = lambda ok: F.sum(F.when(ok, k).otherwise(0))
+    mean = lambda c, ok: F.when(total(ok) > 0, F.sum(F.when(ok, F.col(c) * k))) / (1000.0 * total(ok))
+    means = [mean(c, content).alias(c) for c in ("valence", "arousal", "dominance")]
+    v = rows.groupBy("doc_id").agg(
+        F.sum("n").alias("n_tokens"), total(content).alias("n_matched"), F.sum(F.when(in_lexicon, F.col("n_names")).otherwise(0)).alias("n_proper_skipped"), *means, mean("arousal", in_lexicon).alias("arousal_all"),
+        F.sum(F.when(F.col("shouted").isNotNull(), F.col("caps")).otherwise(0)).alias("shouts"),
+    )
     t, n = F.col("t"), F.col("n_tokens")
-    x = clean(spark, d).join(v, "doc_id", "left")
-    return x.select(
-        "doc_id", F.coalesce(n, F.lit(0)).alias("n_tokens"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"), "valence", "arousal", "arousal_all", F.round(tx.rate(t, tx.ATTRIBUTION, n), 6).alias("attribution"),
-        F.round(tx.hedging(t, n), 6).alias("hedging"), F.round(tx.rate(t, tx.CERTAINTY, n), 6).alias("certainty"), (F.regexp_count(t, F.lit('["“”]')) / 2.0).alias("quote_pairs"),
-        (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("exclamations"), F.round(F.ln(n), 6).alias("log_length"), (F.coalesce("n_matched", F.lit(0)) >= 50).alias("keep"),
+    some = lambda c: F.when(n > 0, c)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    exclamations = F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))
+    return texts.join(v, "doc_id", "left").select(
+        "doc_id", zero("n_tokens"), zero("n_matched"), zero("n_proper_skipped"), F.col("n_masked").cast("int").alias("n_masked"), some(tx.sentences(t)).cast("long").alias("n_sentences"), "valence", "arousal", "dominance", "arousal_all",
+        F.round(tx.rate(t, tx.ATTRIBUTION, n), 6).alias("attribution"), F.round(tx.hedging(t, n), 6).alias("hedging"), F.round(tx.rate(t, tx.CERTAINTY, n), 6).alias("certainty"), F.round(F.col("shouts") / n, 6).alias("caps_ratio"),
+        some(F.round(exclamations / tx.sentences(t), 6)).alias("exclamation_rate"), some(F.regexp_count(t, F.lit('["“”]')) / 2.0).alias("quote_pairs"), F.round(F.ln(n), 6).alias("log_length"), (F.coalesce("n_matched", F.lit(0)) >= 50).alias("keep"),
     )
 
 
@@ -70,33 +137,27 @@ def q13b(spark, d):
     return x.select("doc_id", n.alias("n_tokens"), s.cast("int").alias("n_sentences"), F.size(F.filter("p", lambda p: p["proper"])).alias("n_proper"), F.when(n > 0, F.round(0.39 * n / s + 11.8 * beats / n - 15.59, 6)).alias("grade"), F.round(tx.mtld(F.transform("w", lambda w: F.lower(w))), 6).alias("mtld"))
 
 
-@query("q14_caps_shouting", FEATURES + f""", c AS (SELECT lower(w) AS word, count(*) AS n, count(*) FILTER (WHERE w = upper(w) AND length(w) >= 4) AS caps FROM tokens GROUP BY 1),
-  shout AS (SELECT word FROM c JOIN lexicon ON word = term WHERE 1.0 * caps / n < 0.5 AND caps > 0 AND word NOT IN {_in(sorted({*EXCLUDED, *tx.CAPS_BOILERPLATE}))})
-  SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE w = upper(w) AND length(w) >= 4 AND s.word IS NOT NULL) AS shouted, round(1.0 * count(*) FILTER (WHERE w = upper(w) AND length(w) >= 4 AND s.word IS NOT NULL) / count(*), 6) AS caps_ratio
-  FROM tokens LEFT JOIN shout s ON lower(w) = s.word GROUP BY doc_id""")
+@query("q14_caps_shouting", FEATURES + """ SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE w = upper(w) AND length(w) >= 4 AND s.word IS NOT NULL AND NOT proper) AS shouted, round(1.0 * count(*) FILTER (WHERE w = upper(w) AND length(w) >= 4 AND s.word IS NOT NULL AND NOT proper) / count(*), 6) AS caps_ratio
+  FROM tokens LEFT JOIN shout s ON low = s.word GROUP BY doc_id""")
 def q14(spark, d):
-    own = tokens(spark, d).withColumn("word", F.lower("w")).withColumn("caps", (F.col("w") == F.upper("w")) & (F.length("w") >= 4)).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.count_if("caps").alias("caps"))
-    c = own.groupBy("word").agg(F.sum("n").alias("n"), F.sum("caps").alias("caps"))
-    shout = c.where((F.col("caps") > 0) & (F.col("caps") / F.col("n") < 0.5) & ~F.col("word").isin(*EXCLUDED, *tx.CAPS_BOILERPLATE)).join(lexicon(spark, d), F.col("word") == F.col("term")).select(F.col("word").alias("s"))
-    out = own.join(shout, own.word == shout.s, "left").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("s").isNotNull(), F.col("caps")).otherwise(0)).alias("shouted"))
-    return out.withColumn("caps_ratio", F.round(F.col("shouted") / F.col("n_tokens"), 6))
+    words = stored(word_rows(spark, d), "word-rows")
+    shout = shouted_words(words, made_lexicon(words))
+    rows = words.join(sized(shout), F.col("low") == F.col("shouted"), "left")
+    out = rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("shouted").isNotNull(), F.col("caps")).otherwise(0)).alias("shouts"))
+    return out.select("doc_id", "n_tokens", F.col("shouts").alias("shouted"), F.round(F.col("shouts") / F.col("n_tokens"), 6).alias("caps_ratio"))
 
 
-@query("q15_driving_words", FEATURES + """, c AS (SELECT doc_id, term, count(*) AS n, max(arousal) AS arousal FROM tokens JOIN lexicon ON lower(w) = term GROUP BY ALL)
+@query("q15_driving_words", FEATURES + """, c AS (SELECT doc_id, term, count(*) AS n, max(arousal) AS arousal FROM tokens JOIN lexicon ON low = term WHERE NOT proper GROUP BY ALL)
   SELECT doc_id, rank, term, n, n * arousal AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n * arousal DESC, term) AS INTEGER) AS rank FROM c) WHERE rank <= 8""")
 def q15(spark, d):
-    lex = lexicon(spark, d)
-    c = tokens(spark, d).groupBy("doc_id", F.lower("w").alias("term")).agg(F.count("*").alias("n")).join(lex, "term")
+    words = stored(word_rows(spark, d), "word-rows")
+    c = known(words.select("doc_id", "low", (F.col("n") - F.col("n_names")).alias("n")).where("n > 0"), made_lexicon(words), "inner")
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.col("n") * F.col("arousal")), "term")
     return c.withColumn("rank", F.row_number().over(w)).where("rank <= 8").select("doc_id", "rank", "term", "n", (F.col("n") * F.col("arousal")).alias("score"))
 
 
 VOCABULARY = f"""raw AS (SELECT source, cluster, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM articles), words AS (SELECT * FROM raw WHERE length(w) >= 3 AND w NOT IN {_in(STOP)}),
-  vocabulary AS (SELECT w, CAST(sum(n) AS BIGINT) AS total, count(*) AS outlets FROM (SELECT w, source, count(*) AS n FROM words GROUP BY ALL) GROUP BY w HAVING outlets >= 5 ORDER BY total DESC, w LIMIT 500)"""
-
-
-#: Words of the registered queries, as in their SQL above; the reference keeps 10,000.
-REGISTERED = 500
+  vocabulary AS (SELECT w, CAST(sum(n) AS BIGINT) AS total, count(*) AS outlets FROM (SELECT w, source, count(*) AS n FROM words GROUP BY ALL) GROUP BY w HAVING outlets >= 5 ORDER BY total DESC, w LIMIT 10000)"""
 
 
 def word_counts(spark, d) -> DataFrame:
@@ -109,8 +170,10 @@ def vocabulary(counts: DataFrame, least: int = 5, size: int = 10_000) -> DataFra
     return counts.groupBy("w", "source").agg(F.sum("n").alias("n")).groupBy("w").agg(F.sum("n").alias("total"), F.count("*").alias("outlets")).where(F.col("outlets") >= least).orderBy(F.desc("total"), "w").limit(size)
 
 
-def cube(spark, d, size: int = REGISTERED) -> DataFrame:
-    counts = word_counts(spark, d)
+def cube(spark, d, size: int = 10_000) -> DataFrame:
+    """(source, cluster, word, n), written once and read again, so that the texts are read once however often it's used."""
+    counts = stored(word_counts(spark, d), "word-counts")
+    # the vocabulary is a bounded number of words, so it's broadcast
     return counts.join(F.broadcast(vocabulary(counts, size=size).select("w")), "w").select("source", "cluster", F.col("w").alias("word"), "n")
 
 
@@ -119,7 +182,7 @@ CUBE = f"{VOCABULARY}, cube AS (SELECT source, cluster, w AS word, count(*) AS n
 
 @query("q16_vocabulary", f"WITH {ARTICLES}, {VOCABULARY} SELECT w, total, outlets FROM vocabulary")
 def q16(spark, d):
-    return vocabulary(word_counts(spark, d), size=REGISTERED)
+    return vocabulary(word_counts(spark, d))
 
 
 @query("q17_word_count_cube", f"WITH {ARTICLES}, {CUBE} SELECT * FROM cube ORDER BY ALL")
