@@ -11,7 +11,8 @@ the id. Groups may hold any share of all rows: only sums leave a task before the
 path's row in a join that can be split.
 
 Defined results: null and empty texts have the features of an empty text; a null host or path is a group of its own;
-with no labels of both classes the classifier gives 0.5; repeated rows score alike; an empty table gives no rows.
+documents without an address take any two nested columns for host and path (op9: source and language), and `site` gives
+them for those with one; with no labels of both classes the classifier gives 0.5; repeated rows score alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coded, slices
@@ -92,6 +93,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     return train(features(pa.array([r.t for r in rows], pa.string())), np.array([r.y for r in rows]))
 
 
+def site(url: Column) -> tuple[Column, Column]:
+    """(host, first part of the path) of an address: the groups that pages of a site fall into. What is no address is null."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)", 1)
+    return F.nullif(host, F.lit("")), F.when(host != "", F.when(path == "", "/").otherwise(path))
+
+
 def evidence(df: DataFrame, weights: np.ndarray, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
     """(id, host, path, p): the classifier alone."""
     prepare(df.sparkSession)

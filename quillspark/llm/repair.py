@@ -311,6 +311,31 @@ def read(spark, folder: str, with_ids: bool = True) -> DataFrame:
     return table.select("docs", "sizes", "payload", "before").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
+def lookup(spark, folder: str, ids: list[int]) -> DataFrame:
+    """(id long, ids array<long>) of the documents asked for, by random access: of a segment that has one, only the symbols
+    that cover it are expanded. A repeated id gives a row for each of its documents."""
+    prepare(spark)
+    wanted = np.unique(np.array(ids, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for docs, sizes, payload in zip(*(b.column(c).to_pylist() for c in ("docs", "sizes", "payload"))):
+                docs = np.frombuffer(docs, "<i8")
+                at = np.flatnonzero(np.isin(docs, wanted) & (docs != _NULL))
+                if len(at):
+                    ends, segment = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)), Segment(payload)
+                    found = [segment.ids(int(ends[i - 1]) if i else 0, int(ends[i])).astype(np.int64) for i in at.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(found, pa.list_(pa.int64()))], ["id", "ids"])
+
+    return spark.read.parquet(folder).select("docs", "sizes", "payload").mapInArrow(run, "id long, ids array<long>")
+
+
+def ratio(spark, folder: str) -> float:
+    """Bytes of the grammars by bytes of the ids as 32-bit integers."""
+    r = spark.read.parquet(folder).agg(F.sum(F.octet_length("payload")).alias("b"), F.sum("n_ids").alias("n")).first()
+    return r.b / (4 * r.n) if r.n else 1.0
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     folder = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     return read(spark, folder, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

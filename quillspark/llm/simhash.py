@@ -85,10 +85,11 @@ def _pivots() -> np.ndarray:
     return np.random.default_rng(64).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def forest(fp: np.ndarray, group: np.ndarray, radius: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(fp: np.ndarray, group: np.ndarray, radius: int, part: np.ndarray | None = None, seen: list | None = None) -> list[tuple[int, int]]:
     """Positions (i, j) of a spanning forest of the links inside each group; rows of a group are adjacent.
 
-    part: if given, only pairs across different parts, or all pairs where a group has a single part.
+    part: if given, rows of the same part (0 or more) are not compared, as they meet elsewhere. seen: if given, gets the
+    number of pairs that met, that the pivots left, and that are links.
     """
     n = len(fp)
     table = np.bitwise_count(fp[:, None] ^ _pivots()[None, :]).astype(np.int8)
@@ -109,10 +110,16 @@ def forest(fp: np.ndarray, group: np.ndarray, radius: int, part: np.ndarray | No
         if not len(at):
             return links
         i, j = at, at + step
+        if part is not None:
+            apart = (part[i] != part[j]) | (part[i] < 0)
+            i, j = i[apart], j[apart]
+        met = len(i)
         for c in (slice(0, 2), slice(2, 6), slice(6, PIVOTS)):
             near = (np.abs(table[i, c] - table[j, c]) <= radius).all(1)
             i, j = i[near], j[near]
         near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+        if seen is not None:
+            seen.append((met, len(i), int(near.sum())))
         i, j = i[near], j[near]
         if len(i):
             root = parent.copy()
@@ -133,14 +140,15 @@ def links(nodes: DataFrame, radius: int = 3, bits: int = 64, tile: int = TILE) -
     prepare(nodes.sparkSession)
     blocks = radius + 2
     cuts = [round(bits * i / blocks) for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftleft(part[x], 32).bitwiseOR(part[y]).alias("v")) for k, (x, y) in enumerate(combinations(range(blocks), 2))])
+    bits_of = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftleft(bits_of[x], 32).bitwiseOR(bits_of[y]).alias("v")) for k, (x, y) in enumerate(combinations(range(blocks), 2))])
     rows = nodes.select("id", "fp", F.explode(keys).alias("key")).select("id", "fp", "key.k", "key.v")
     met = rows.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(met, ["k", "v"]).withColumn("s", F.ceil(F.col("n") / tile).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
     rows = rows.select("id", "fp", "k", "v", "own", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
-    rows = rows.select("id", "fp", "k", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    part = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))  # two tiles compare across only
+    rows = rows.select("id", "fp", "k", "v", part.alias("part"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     # a row whose own tile is i comes to every pair of tiles that has i
     rows = rows.repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j")
 
@@ -151,12 +159,12 @@ def links(nodes: DataFrame, radius: int = 3, bits: int = 64, tile: int = TILE) -
             for c in cols:
                 change[1:] |= c[1:] != c[:-1]
             ids = t.column("id").to_numpy()
-            found = forest(t.column("fp").to_numpy().view(np.uint64), np.cumsum(change), radius)
+            found = forest(t.column("fp").to_numpy().view(np.uint64), np.cumsum(change), radius, t.column("part").to_numpy())
             if found:
                 pairs = ids[np.array(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return rows.select("id", "fp", "k", "v", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.select("id", "fp", "k", "v", "i", "j", "part").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int = 3) -> DataFrame:

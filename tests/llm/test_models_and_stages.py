@@ -176,6 +176,15 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.score(df.limit(5), flat).collect()} == {0.5}
 
 
+def test_toxicity_on_held_out_rows(spark, small):
+    """Of a full table's held-out toxic rows most are found, and few clean ones are taken for toxic."""
+    d = small.replace("sf0.001", "sf0.1")
+    rows = toxicity.op3(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    bad = [r.predicted for r in rows if r.toxic]
+    fine = [r.predicted for r in rows if not r.toxic]
+    assert len(bad) > 100 and sum(bad) >= 0.85 * len(bad) and sum(fine) <= 0.03 * len(fine)
+
+
 def test_windows_cover_texts():
     borders = np.array([0, 1, 33, 80, 180])
     first, text = toxicity.windows(borders)
@@ -187,9 +196,13 @@ def test_windows_cover_texts():
 
 
 def test_quality(spark, small):
+    small = small.replace("sf0.001", "sf0.01")
     documents, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
-    got = quality.op9(spark, small).join(labels, "doc_id").select("score", "quality").collect()
-    assert sum((r.score >= 0.5) == (r.quality == 1) for r in got) >= 0.9 * len(got)
+    held = toxicity.held_out("doc_id")
+    weights = quality.fit(documents, labels.where(~held), "doc_id", "text")  # the rows scored below are not learnt from
+    marks = quality.written(quality.evidence(documents, weights, "doc_id", "text", "source", "lang"), "evidence")
+    got = quality.score(marks).join(labels.where(held), F.col("id") == F.col("doc_id")).select("score", "quality").collect()
+    assert len(got) > 80 and sum((r.score >= 0.5) == (r.quality == 1) for r in got) >= 0.9 * len(got)
     odd = spark.createDataFrame([(1, None, None, None), (2, "", "h", None), (2, "", "h", None)], "doc_id long, text string, source string, lang string")
     marks = quality.evidence(odd, quality.fit(documents, labels, "doc_id", "text"), "doc_id", "text", "source", "lang")
     found = quality.score(marks).collect()
@@ -197,6 +210,45 @@ def test_quality(spark, small):
     assert quality.score(marks.limit(0)).count() == 0
 
 
+def test_quality_posteriors_equal_plain_python(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"h{i % 5}" if i % 7 else None, f"/p{i % 3}", float(np.clip(0.2 + 0.15 * (i % 5) + rng.normal() * 0.1, 0.01, 0.99))) for i in range(200)]
+    rows += [(1000 + i, "tiny", "/", p) for i, p in enumerate((0.9, 0.95))]
+    got = {r.id: r for r in quality.score(spark.createDataFrame(rows, "id long, host string, path string, p double")).collect()}
+    mean = sum(p for *_, p in rows) / len(rows)
+
+    def strength(groups, prior):
+        """groups: lists of p; prior: the mean that each is drawn to."""
+        n, k = sum(map(len, groups)), len(groups)
+        inside = sum(sum(x * x for x in g) - sum(g) ** 2 / len(g) for g in groups) / (n - k)
+        between = (sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in zip(groups, prior)) - (k - 1) * inside) / (n - sum(len(g) ** 2 for g in groups) / n)
+        return min(1e6, max(1.0, inside / max(between, 1e-9)))
+
+    hosts, paths = {}, {}
+    for _, h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    k = strength(list(hosts.values()), [mean] * len(hosts))
+    host_mean = {h: (k * mean + sum(g)) / (k + len(g)) for h, g in hosts.items()}
+    k = strength(list(paths.values()), [host_mean[h] for h, _ in paths])
+    path_mean = {x: (k * host_mean[x[0]] + sum(g)) / (k + len(g)) for x, g in paths.items()}
+    odds = lambda p: np.log(p / (1 - p))
+    for i, h, q, p in rows:
+        r = got[i]
+        assert r.host_mean == pytest.approx(host_mean[h]) and r.path_mean == pytest.approx(path_mean[h, q])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(odds(p) + odds(path_mean[h, q]) - odds(mean)))))
+
+
+def test_quality_of_the_site_changes_a_decision(spark):
+    rows = [(f"http://Bad.example/ads/{i}", 0.05) for i in range(60)] + [(f"https://u@good.example:8080/news/{i}?x=1", 0.95) for i in range(60)] + [("http://bad.example/ads/last", 0.55), ("https://good.example/news", 0.45), ("not an address", 0.5)]
+    df = spark.createDataFrame([(i, u, p) for i, (u, p) in enumerate(rows)], "id long, url string, p double")
+    host, path = quality.site(F.col("url"))
+    marks = df.select("id", host.alias("host"), path.alias("path"), "p")
+    got = {r.id: r for r in quality.score(marks).collect()}
+    assert (got[0].host, got[0].path) == ("bad.example", "/ads") and (got[60].host, got[60].path) == ("good.example", "/news") and got[122].host is None
+    assert got[120].p >= 0.5 > got[120].score and got[121].p < 0.5 <= got[121].score
+
+
 def test_small_hosts_are_drawn_to_the_whole(spark):
     rows = [(i, "big", "a", 0.9) for i in range(500)] + [(1000 + i, f"s{i % 50}", "a", 0.5 + 0.1 * (i % 3)) for i in range(150)] + [(5000, "tiny", "a", 0.1)]
     got = {r.host: r for r in quality.score(spark.createDataFrame(rows, "id long, host string, path string, p double")).collect()}

@@ -105,6 +105,16 @@ def test_token_files(spark, library):
         at += len(want)
 
 
+def test_token_files_by_random_access(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    folder = repair.write(docs, "doc_id", "text", segment=5000)
+    whole = {r.id: r.ids for r in repair.read(spark, folder).collect()}
+    some = sorted(whole)[::17]
+    assert {r.id: r.ids for r in repair.lookup(spark, folder, [*some, -5]).collect()} == {i: whole[i] for i in some}
+    assert repair.lookup(spark, folder, []).count() == 0
+    assert repair.ratio(spark, repair.write(docs, "doc_id", "text")) < 0.6
+
+
 def test_token_files_empty_and_null_id(spark):
     df = spark.createDataFrame([(None, "a b"), (3, None)], "doc_id long, text string")
     rows = repair.read(spark, repair.write(df, "doc_id", "text")).collect()
