@@ -54,3 +54,17 @@ def grouped_folds(counts: list[tuple[str, int, int]], folds: int) -> dict[str, i
         held[best] = [h + n for h, n in zip(held[best], v)]
         out[g] = best
     return out
+
+
+def greedy_sheet(rows: list[tuple], each: int, most: int) -> list[tuple]:
+    """(cell, outlet, id) picked in order: up to `each` of a cell while no outlet has more than `most` over all cells, then
+    cells still short are filled up without regard to outlets. rows: (cell, outlet, id) in order of preference."""
+    picked: list[tuple] = []
+    cells: dict = {}
+    outlets: dict = {}
+    for limited in (True, False):
+        for r in rows:
+            if cells.get(r[0], 0) < each and r not in picked and not (limited and outlets.get(r[1], 0) >= most):
+                picked.append(r)
+                cells[r[0]], outlets[r[1]] = cells.get(r[0], 0) + 1, outlets.get(r[1], 0) + 1
+    return picked
