@@ -29,8 +29,9 @@ def q45c(spark, d):
 
 @query("q46_fixed_effects")
 def q46(spark, d):
-    x = frame(spark, d).select("source", "cluster", F.col("lines").alias("y"))
-    return md.two_way_effects(x, "y", "source", "cluster")
+    """Outlet means once the effects of cluster and year are out."""
+    x = frame(spark, d).select("source", "cluster", (2017 + F.col("doc_id") % 6).alias("year"), F.ln(F.col("n_chars") + 1).alias("y"))
+    return md.two_way_effects(x, "y", "source", "cluster", "year")
 
 
 @query("q46b_ordinal_logit")
@@ -44,3 +45,20 @@ def q46b(spark, d):
 def q46c(spark, d):
     x = frame(spark, d).select("source", "cluster", F.ln("n_chars").alias("y"))
     return md.variance_shares(x, "y", "source", "cluster")
+
+
+@query("q46d_proportional_odds")
+def q46d(spark, d):
+    """One logistic model for each cut of factuality, against the slope of the ordinal one."""
+    x = frame(spark, d).groupBy("source").agg(F.avg(F.ln("n_chars")).alias("size")).join(outlets(spark), "source").where("factuality IS NOT NULL")
+    code = F.create_map(*[F.lit(v) for kv in {"very low": 0, "low": 1, "mixed": 2, "high": 3, "very high": 4}.items() for v in kv])
+    return md.proportional_odds(x.select(code[F.col("factuality")].alias("y"), "size"), "y", "size")
+
+
+@query("q46e_mixed_specs")
+def q46e(spark, d):
+    """The mixed model with covariates, and again with fewer of them, without an outlet, and without a year."""
+    x = frame(spark, d).select("source", "cluster", (2017 + F.col("doc_id") % 6).alias("year"), "quality", (F.col("lines") / 10).alias("tens"), F.ln(F.col("n_chars") + 1).alias("y"))
+    both = ["quality", "tens"]
+    specs = {"all": (both, None), "quality only": (["quality"], None), "no src1": (both, "source <> 'src1'"), "no 2018": (both, "year <> 2018"), "short": (both, "tens < 2")}
+    return md.mixed_model(x, "y", both, "source", "cluster", specs)

@@ -117,3 +117,44 @@ def test_streaming(spark, small, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = ev.windowed(batch.withColumn("ts", F.col("ts").cast("timestamp")))
     assert got.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_two_way_effects_equal_least_squares(spark):
+    rng = np.random.default_rng(4)
+    n = 600
+    g, a, b = rng.integers(0, 6, n), rng.integers(0, 4, n), rng.integers(0, 3, n)
+    y = 0.5 * g + a - 2 * b + rng.normal(size=n)
+    df = spark.createDataFrame([(f"g{i}", f"a{j}", f"b{k}", float(v)) for i, j, k, v in zip(g, a, b, y)], "g string, a string, b string, y double")
+    x = np.column_stack([np.ones(n), *[(a == j) for j in range(1, 4)], *[(b == j) for j in range(1, 3)]]).astype(float)
+    rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    got = {r.g: r for r in models.two_way_effects(df, "y", "g", "a", "b").collect()}
+    for i in range(6):
+        assert got[f"g{i}"].residual == pytest.approx(rest[g == i].mean(), abs=2e-6) and got[f"g{i}"].raw == pytest.approx(y[g == i].mean(), abs=2e-6)
+    assert got["g0"].r2 == pytest.approx(1 - (rest**2).sum() / ((y - y.mean()) ** 2).sum(), abs=2e-6) and 0.2 < got["g0"].icc < 0.6
+    assert models.two_way_effects(df.limit(0), "y", "g", "a", "b").count() == 0
+
+
+def test_mixed_model_with_covariates(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=40), rng.normal(size=30) * 0.5
+    rows = []
+    for i in range(40):
+        for j in range(30):
+            x = rng.normal() + a[i]
+            rows.append((f"a{i:02}", f"b{j:02}", float(x), float(1 + 2 * x + a[i] + b[j] + rng.normal() * 0.5)))
+    df = spark.createDataFrame(rows, "a string, b string, x double, y double")
+    got = {r.part: r for r in models.mixed_model(df, "y", ["x"], "a", "b").collect()}
+    assert got["x"].value == pytest.approx(2, abs=0.05) and 0 < got["x"].se < 0.05
+    assert got["variance of a"].value == pytest.approx(a.var(ddof=1), rel=0.15) and got["variance of residual"].value == pytest.approx(0.25, rel=0.1)
+    assert got["variance of residual"].absorbed > 0.9
+
+
+def test_proportional_odds(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=1500)
+    y = np.digitize(1.2 * x + rng.logistic(size=1500), [-1, 0.5, 2])
+    df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(y, x)], "y int, x double")
+    rows = models.proportional_odds(df, "y", "x").collect()
+    assert len(rows) == 3 and all(abs(r.coef - 1.2) < 0.25 and r.se < 0.2 for r in rows) and rows[0].spread < 0.4
+    r = models.ordinal_logit(df, "y", ["x"]).first()
+    assert r.lo < r.odds_ratio < r.hi and r.p < 0.001 and 0.05 < r.pseudo_r2 < 0.4
