@@ -32,6 +32,9 @@ from .common import given_back, prepare, shared_dir
 
 SEGMENT = 1 << 20
 MOST, LEAST = 4000, 12
+#: Pieces of text that a worker keeps the ids of (two generations, some 100 bytes each), also for its next task; and bytes
+#: of texts that are encoded together.
+PIECES, GATHER = 250_000, 32_000_000
 _NULL = -(1 << 63)
 
 
@@ -154,55 +157,56 @@ class Library:
         self.tokenizer.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self._known = Cache(self._encode_words, PIECES)
+        self._pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self._ends = np.zeros(self.size, bool)
         for name, i in spec["model"]["vocab"].items():
             self._ends[i] = name.endswith(spec["model"]["end_of_word_suffix"])
-        self._known = Cache(self._encode_words, 200_000)
 
     def _encode_words(self, words: list[str], most: int = 500) -> dict[str, bytes]:
         """Words between spaces: each ends with its only token of a word end."""
-        out = {}
+        out: dict[str, bytes] = {}
         lines = [words[i : i + most] for i in range(0, len(words), most)]
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            cuts = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            cuts = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
             if len(cuts) != len(line):
                 raise ValueError("a word without a word end")
-            data, start = ids.tobytes(), 0
-            for w, stop in zip(line, cuts.tolist()):
-                out[w] = data[start:stop]
-                start = stop
+            data = ids.tobytes()
+            out.update(zip(line, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
         return out
 
     def encode(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each piece, as little-endian 32-bit integers. Words that pieces share are encoded once."""
-        parts, words, odd = {}, set(), []
+        """Ids of each piece, as little-endian 32-bit integers. Words that pieces share are encoded once.
+
+        Most pieces are a word, or a word and one sign; what takes the library's own rules goes to it whole.
+        """
+        ones, twos, more, odd = {}, {}, {}, []
         for c in chunks:
-            if _COMMON.fullmatch(c) and "<|" not in c:
-                low = c.lower()
-                if low.isalpha():
-                    parts[c] = (low,)
-                elif low[:-1].isalpha():
-                    parts[c] = (low[:-1], low[-1])
-                else:
-                    parts[c] = self._words.findall(low)
-                words.update(parts[c])
-            else:
+            if c.isascii():
+                if c.isalpha():
+                    ones[c] = c.lower()
+                    continue
+                if c[:-1].isalpha() and c.isprintable():
+                    twos[c] = c[:-1].lower()
+                    continue
+            if not _COMMON.fullmatch(c) or "<|" in c:
                 odd.append(c)
+            elif c.isalpha():
+                ones[c] = c.lower()
+            else:
+                more[c] = self._pattern.findall(c.lower())
+        words = {*ones.values(), *twos.values(), *(c[-1] for c in twos), *(w for found in more.values() for w in found)}
         self._known.fill(words)
         known = self._known.young
-        out = {c: known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found]) for c, found in parts.items()}
+        out = {c: known[w] for c, w in ones.items()}
+        out.update({c: known[w] + known[c[-1]] for c, w in twos.items()})
+        out.update({c: b"".join([known[w] for w in found]) for c, found in more.items()})
         if odd:
             out |= {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
         return out
 
 
-    def forget(self) -> None:
-        """Drops what was encoded on the way."""
-        self._known.clear()
-
-
 @lru_cache(maxsize=2)
 def _library(path: str) -> Library:
     return Library(path)
@@ -210,7 +214,7 @@ def _library(path: str) -> Library:
 
 def _ids_cache(path: str) -> Cache:
     """Piece between white space -> its ids as bytes. No word of this kind of file crosses white space."""
-    return _CACHES.setdefault(("ids", path), Cache(_library(path).encode, 200_000))
+    return _CACHES.setdefault(("ids", path), Cache(_library(path).encode, PIECES))
 
 
 def ids_of(texts: pa.Array, cache: Cache, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,9 +258,9 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["first_doc", "seq", "n_ids", "docs", "sizes", "payload"])
 
         try:
-            for b in gathered(batches):
+            for b in gathered(batches, GATHER):
                 start = 0
-                for part in slices(b.column(1), 8_000_000):
+                for part in slices(b.column(1), GATHER):
                     doc = pc.fill_null(b.column(0).slice(start, len(part)), _NULL).to_numpy().astype("<i8")
                     start += len(part)
                     ids, ends = ids_of(part, cache, end_id)
@@ -274,9 +278,7 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
                             docs, sizes, parts, held, seq = [], [], [], 0, seq + 1
             if docs:
                 yield row()
-        finally:  # the worker goes on to other operators' tasks
-            cache.clear()
-            library.forget()
+        finally:
             gc.enable()
             given_back()
 
