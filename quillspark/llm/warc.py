@@ -52,6 +52,17 @@ def record_head(name: str, kind: str, uri: str | None, refers_to: str | None, si
     return "\r\n".join(fields).encode() + b"\r\n\r\n" + http
 
 
+def record(packer, head: bytes, data, size: int) -> Iterator[bytes]:
+    """A record's gzip member in pieces. data: the payload as an Arrow scalar, or None."""
+    yield packer.compress(head)
+    if data is not None:
+        view = memoryview(data.as_buffer())
+        for at in range(0, size, CHUNK):
+            yield packer.compress(view[at : at + CHUNK])
+    yield packer.compress(b"\r\n\r\n")
+    yield packer.flush()
+
+
 def write(df: DataFrame, id_col: str, payload_col: str, uri_col: str | None = None, least: int = LEAST, folder: str | None = None) -> DataFrame:
     """Writes a record for each row; returns the manifest (archive string, records long, bytes long), itself written."""
     spark = df.sparkSession
@@ -78,15 +89,9 @@ def write(df: DataFrame, id_col: str, payload_col: str, uri_col: str | None = No
                 kind = "revisit" if first is not None and first != i else "response"
                 own = _NAME + (f"{i}" if i is not None else f"none-{uuid.uuid4().hex}")
                 packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                parts = [packer.compress(record_head(own, kind, uri, f"{_NAME}{first}", size, digest))]
-                if kind == "response":
-                    view = memoryview(data.as_buffer())
-                    for at in range(0, size, CHUNK):
-                        parts.append(packer.compress(view[at : at + CHUNK]))
-                parts += [packer.compress(b"\r\n\r\n"), packer.flush()]
-                for p in parts:
-                    out.write(p)
-                    total += len(p)
+                for piece in record(packer, record_head(own, kind, uri, f"{_NAME}{first}", size, digest), data if kind == "response" else None, size):
+                    out.write(piece)  # at once, so that no record's compressed form is held either
+                    total += len(piece)
                 records += 1
         if out is not None:
             out.close()
