@@ -369,15 +369,16 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterat
         yield pa.concat_batches(held)
 
 
-def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The texts' pieces between ASCII white space: (a code for each piece, borders of the texts, piece of each code).
+def coded(texts: pa.Array, listed: bool = True) -> tuple:
+    """The texts' pieces between ASCII white space: (a code for each piece, borders of the texts, piece of each code, as a
+    list or an array).
 
     Other white space stays inside pieces. A blank text is one empty piece.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
     borders = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     flat = lists.flatten().dictionary_encode()
-    return flat.indices.to_numpy(), borders, flat.dictionary.to_pylist()
+    return flat.indices.to_numpy(), borders, flat.dictionary.to_pylist() if listed else flat.dictionary
 
 
 def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None, keep_text: bool = True) -> DataFrame:

@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _CACHES, _COMMON, Cache, coded, default_vocabulary, gathered, slices
+from .bpe import _COMMON, Cache, coded, default_vocabulary, gathered, slices
 from .common import given_back, prepare, shared_dir
 
 SEGMENT = 1 << 20
 MOST, LEAST = 4000, 12
-#: Pieces of text that a worker keeps the ids of (two generations, some 100 bytes each), also for its next task; and bytes
-#: of texts that are encoded together.
+#: Words of unusual pieces that a worker keeps the ids of (two generations, some 100 bytes each), also for its next task; and
+#: bytes of texts that are encoded together.
 PIECES, GATHER = 250_000, 32_000_000
 _NULL = -(1 << 63)
 
@@ -112,7 +112,7 @@ class Segment:
         at += 2 * n_rules * width
         self.lengths = np.frombuffer(payload, "<u4", n_rules, at).astype(np.int64)
         self.symbols = np.frombuffer(payload, kind, n_symbols, at + 4 * n_rules)
-        self._ends: np.ndarray | None = None
+        self.word_ends: np.ndarray | None = None
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         seq = symbols
@@ -134,13 +134,13 @@ class Segment:
         """Ids start to stop, expanding only the symbols that cover them."""
         if stop <= start:
             return np.empty(0, np.uint32)
-        if self._ends is None:
+        if self.word_ends is None:
             size = np.ones(len(self.symbols), np.int64)
             rule = self.symbols >= self.first
             size[rule] = self.lengths[self.symbols[rule] - self.first]
-            self._ends = np.cumsum(size)
-        a, b = np.searchsorted(self._ends, [start, stop - 1], "right")
-        before = int(self._ends[a - 1]) if a else 0
+            self.word_ends = np.cumsum(size)
+        a, b = np.searchsorted(self.word_ends, [start, stop - 1], "right")
+        before = int(self.word_ends[a - 1]) if a else 0
         return self._expand(self.symbols[a : b + 1])[start - before : stop - before]
 
 
@@ -159,9 +159,9 @@ class Library:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._known = Cache(self._encode_words, PIECES)
         self._pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self._ends = np.zeros(self.size, bool)
+        self.word_ends = np.zeros(self.size, bool)
         for name, i in spec["model"]["vocab"].items():
-            self._ends[i] = name.endswith(spec["model"]["end_of_word_suffix"])
+            self.word_ends[i] = name.endswith(spec["model"]["end_of_word_suffix"])
 
     def _encode_words(self, words: list[str], most: int = 500) -> dict[str, bytes]:
         """Words between spaces: each ends with its only token of a word end."""
@@ -169,7 +169,7 @@ class Library:
         lines = [words[i : i + most] for i in range(0, len(words), most)]
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            cuts = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+            cuts = ((np.flatnonzero(self.word_ends[ids]) + 1) * 4).tolist()
             if len(cuts) != len(line):
                 raise ValueError("a word without a word end")
             data = ids.tobytes()
@@ -212,28 +212,59 @@ def _library(path: str) -> Library:
     return Library(path)
 
 
-def _ids_cache(path: str) -> Cache:
-    """Piece between white space -> its ids as bytes. No word of this kind of file crosses white space."""
-    return _CACHES.setdefault(("ids", path), Cache(_library(path).encode, PIECES))
+def units_of(pieces: pa.Array, library: Library, most: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two units of each distinct piece, the second -1 where it has one; first id, number of ids, ids of the units).
 
-
-def ids_of(texts: pa.Array, cache: Cache, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, each with its end id; where each text ends)."""
-    codes, borders, pieces = coded(texts)
-    cache.fill(set(pieces))
-    values = list(map(cache.young.__getitem__, pieces))
-    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    source = np.frombuffer(b"".join(values), "<u4")
-    first = np.cumsum(size) - size
-    n = size[codes]
-    text = np.repeat(np.arange(len(texts)), np.diff(borders))
-    start = np.cumsum(n) - n
-    out = np.full(int(n.sum()) + len(texts), end_id, np.uint32)
-    # each piece's ids go where they stand among all ids, moved on by the end ids of the texts before
-    step = np.arange(int(n.sum()))
-    out[step + np.repeat(text, n)] = source[step + np.repeat(first[codes] - start, n)]
-    ends = np.concatenate([[0], np.cumsum(n)])[borders[1:]] + np.arange(1, len(texts) + 1)
-    return out, ends
+    Most pieces are a word, or a word and one sign: their words are put together by column and go to the library once each,
+    as lines, in which each word ends with its only token of a word end. Any other piece is a unit of its own.
+    """
+    plain = pc.string_is_ascii(pieces)
+    alpha = pc.and_(plain, pc.ascii_is_alpha(pieces))
+    stems = pc.utf8_slice_codeunits(pieces, 0, -1)
+    two = pc.and_(pc.and_(pc.and_not(plain, alpha), pc.ascii_is_alpha(stems)), pc.ascii_is_printable(pieces))
+    is_one, is_two = (x.to_numpy(zero_copy_only=False) for x in (alpha, two))
+    signs = pc.utf8_slice_codeunits(pieces.filter(two), -1)
+    words = pa.concat_arrays([pc.ascii_lower(pieces.filter(alpha)), pc.ascii_lower(stems.filter(two)), signs]).dictionary_encode()
+    at, known = words.indices.to_numpy(), words.dictionary
+    borders = np.append(np.arange(0, len(known), most), len(known))
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(borders, pa.int32()), known), " ").to_pylist() if len(known) else []
+    found = [np.array(e.ids, np.uint32) for e in library.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+    ids = np.concatenate([*found, np.zeros(0, np.uint32)])
+    ends = np.flatnonzero(library.word_ends[ids]) + 1
+    if len(ends) != len(known):
+        raise ValueError("a word without a word end")
+    others = np.flatnonzero(~(is_one | is_two))
+    chunks = pieces.take(pa.array(others)).to_pylist()
+    made = library.encode(chunks)
+    parts = [np.frombuffer(made[c], "<u4") for c in chunks]
+    size = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, parts), np.int64, len(parts))])
+    units = np.full((len(pieces), 2), -1, np.int64)
+    n_one, n_two = int(is_one.sum()), int(is_two.sum())
+    units[is_one, 0] = at[:n_one]
+    units[is_two, 0], units[is_two, 1] = at[n_one : n_one + n_two], at[n_one + n_two :]
+    units[others, 0] = len(known) + np.arange(len(others))
+    return units, np.cumsum(size) - size, size, np.concatenate([ids, *parts])
+
+
+def ids_of(texts: pa.Array, library: Library, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, each with its end id; where each text ends). No word of this kind of file crosses white space."""
+    codes, borders, pieces = coded(texts, False)
+    units, first, size, source = units_of(pieces, library)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(borders))
+    pairs = units[codes]
+    real = pairs >= 0
+    text = np.repeat(text, real.sum(1))
+    own = pairs[real]
+    n = size[own]
+    stops = np.cumsum(n)
+    start = stops - n
+    total = int(stops[-1]) if len(stops) else 0
+    out = np.full(total + len(texts), end_id, np.uint32)
+    # each unit's ids go where they stand among all ids, moved on by the end ids of the texts before
+    step = np.arange(total)
+    out[step + np.repeat(text, n)] = source[step + np.repeat(first[own] - start, n)]
+    sums = np.bincount(text, n, minlength=len(texts)).astype(np.int64)
+    return out, np.cumsum(sums) + np.arange(1, len(texts) + 1)
 
 
 def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, end_id: int = 1, segment: int = SEGMENT) -> str:
@@ -249,7 +280,7 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the caches are large and nothing here makes cycles
-        library, cache = _library(path), _ids_cache(path)
+        library = _library(path)
         docs, sizes, parts, held, seq = [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
@@ -263,7 +294,7 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
                 for part in slices(b.column(1), GATHER):
                     doc = pc.fill_null(b.column(0).slice(start, len(part)), _NULL).to_numpy().astype("<i8")
                     start += len(part)
-                    ids, ends = ids_of(part, cache, end_id)
+                    ids, ends = ids_of(part, library, end_id)
                     at = 0
                     while at < len(doc):  # documents up to the one that fills the segment
                         done = ends[at - 1] if at else 0
