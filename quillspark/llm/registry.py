@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, pii, quality, repair, simhash, topk, toxicity, warc
+from . import bpe, decontaminate, hamerly, html, pii, quality, ranked, repair, simhash, tokengroups, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_ids": repair.op8,
     "op9_quality": quality.op9,
     "op10_topk": topk.op10,
+    "op11_jaccard": tokengroups.op11,
+    "op12_clusters": hamerly.op12,
+    "op13_ranked": ranked.op13,
 }
 
 ORACLES = {
@@ -34,4 +37,7 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_jaccard": tokengroups.SQL,
+    "op12_clusters": hamerly.sql(),
+    "op13_ranked": ranked.SQL,
 }
