@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import models, relational, statistics, validation, words  # noqa: F401
+from . import learned, mixed, models, relational, statistics, validation, words  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import sampling
-from quillspark.sources.tables import stored, table
+from quillspark.sources.tables import sized, stored, table
 
 from .base import ARTICLES, BOTH, articles, query
 
@@ -28,8 +28,6 @@ LEXICON = f"lexicon AS (SELECT w AS term, ({CODE.format(w='w')} // 3) % 2001 - 1
 #: Lexicon words of four letters and more that are mostly written in lower case: their capitals are emphasis.
 SHOUT = f"""shout AS (SELECT low AS word FROM tokens JOIN lexicon ON low = term WHERE length(w) >= 4 AND low NOT IN {_in(sorted({*EXCLUDED, *tx.CAPS_BOILERPLATE}))} GROUP BY low HAVING 1.0 * count(*) FILTER (WHERE w = upper(w)) / count(*) < 0.5)"""
 FEATURES = f"WITH {ARTICLES}, {CLEAN}, {TOKENS}, {LEXICON}, {SHOUT}"
-#: Terms of a lexicon that are broadcast at most (some 60 bytes each); a larger one is joined by a shuffle.
-BROADCAST_TERMS = 500_000
 
 
 def clean(spark, d) -> DataFrame:
@@ -72,11 +70,6 @@ def known(words: DataFrame, lexicon: DataFrame, how: str = "left") -> DataFrame:
     return words.join(sized(lexicon), F.col("low") == F.col("term"), how)
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """The table, marked for a broadcast if it has few enough rows."""
-    return F.broadcast(table) if table.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else table
-
-
 def shouted_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(term): lexicon words that are mostly written in lower case and belong to no site's furniture."""
     c = words.where(F.length("low") >= 4).groupBy("low").agg(F.sum("n").alias("n"), F.sum("all_caps").alias("caps"))

@@ -13,6 +13,9 @@ LEXICON_SCHEMA = T.StructType(
     [T.StructField("term", T.StringType()), T.StructField("valence", T.DoubleType()), T.StructField("arousal", T.DoubleType()), T.StructField("dominance", T.DoubleType())]
 )
 
+#: Rows at most of a small table that is broadcast.
+BROADCAST_ROWS = 500_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; columns are pruned by Catalyst."""
@@ -33,7 +36,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for a broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def attach(spark: SparkSession, folder: str, names: list[str], prefix: str = "") -> None:
