@@ -49,7 +49,7 @@ def starts(rows: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
     """The k first vectors by the SHA-256 of `seed:vec_id`: only these k come to the driver."""
     rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = rows.orderBy(rank.asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r.v for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r.v for r in first], np.int64)
 
 
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ def components(texts, ids):
     return [(i, len(s), least.get(x)) for i, s, x in zip(ids, sets, name)]
 
 
-@pytest.mark.parametrize("group,first", [(3, 1), (256, 8)])
+@pytest.mark.parametrize("group,first", [(3, 1), (256, 3)])
 def test_token_groups_equal_brute_force(spark, group, first):
     texts = made()
     texts += [texts[0], texts[1], None]  # repeated rows
@@ -43,7 +43,7 @@ def test_token_groups_equal_brute_force(spark, group, first):
     ids[7] = ids[8] = 10_000
     read = {}
     df = spark.createDataFrame(rows_of(texts, ids), CLASH)
-    got = tokengroups.joined(df, "doc_id", "text", group=group, first=first, tile=8, read=read).collect()
+    got = tokengroups.joined(df, "doc_id", "text", group=group, first=first, read=read).collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(components(texts, ids), key=key)
     assert 0 < read["opened"] <= read["asked"]
