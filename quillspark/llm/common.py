@@ -76,6 +76,11 @@ def given_back() -> None:
         pass
 
 
+def row_of(columns: list[str]):
+    """The columns as one struct, whatever their names hold; names that occur twice are ambiguous and an error."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in columns]).alias("row")
+
+
 def text_of(column: str):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coded, slices
-from .common import prepare
+from .common import prepare, row_of
 from .toxicity import normal
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -338,7 +338,7 @@ def kept(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
 
     columns = df.columns
     for x in _blocks(benchmark, item_col, item_text, block):
-        rows = df.select(F.struct(*[df[c] for c in columns]).alias("row"), against(*x)(df[text_col].cast("string")).alias("clean"))
+        rows = df.select(row_of(columns), against(*x)(df[text_col].cast("string")).alias("clean"))
         df = rows.where("clean").select("row.*")
     return df
 

@@ -527,7 +527,7 @@ def extract(df: DataFrame, html_col: str, *keep: str) -> DataFrame:
         for pages in batches:
             yield pa.array([t for part in slices(pages) for t in main_text(shared.value, [x.as_py() or "" for x in part])], pa.string())
 
-    rows = df.select(F.struct(*[df[c] for c in keep], F.lit(0).alias("_")).alias("row"), F.arrow_udf(run, "string")(df[html_col].cast("string")).alias("text"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("row"), F.arrow_udf(run, "string")(df[html_col].cast("string")).alias("text"))
     kept = [F.col("row")[c].alias(c) for c in keep if c not in ("text", "n_chars")]
     return rows.select(*kept, "text", F.length("text").cast("long").alias("n_chars"))
 

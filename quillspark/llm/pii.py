@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_of, written
 
 KINDS = ["email", "ip", "card", "phone", "ssn"]
 #: Patterns: (kind, is base, Java regular expression).
@@ -147,7 +147,7 @@ def candidates(df: DataFrame, text_col: str) -> DataFrame:
     may = {0: F.contains(text, F.lit("@")), 3: F.contains(text, F.lit("+")), 4: F.contains(low, F.lit("at)")) | F.contains(low, F.lit("at]"))}
     digits = text.rlike("[0-9]")
     found = [F.when(may.get(n, digits), _found(text, n)).otherwise(_none()) for n in range(len(PATTERNS))]
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.concat(*found).alias("found"))
+    return df.select(row_of(df.columns), F.concat(*found).alias("found"))
 
 
 def vote_counts(found: DataFrame) -> list[tuple]:

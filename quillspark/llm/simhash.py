@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import by_group, connected_components, prepare, written
+from .common import by_group, connected_components, prepare, row_of, written
 
 PIVOTS = 16
 TILE = 1024
@@ -78,7 +78,7 @@ def _marked(df: DataFrame, text_col: str, size: int) -> DataFrame:
             yield pa.array(np.fromiter((fingerprint(x.as_py() or b"", size) for x in texts), np.uint64, len(texts)).view(np.int64))
 
     key = F.arrow_udf(run, "long")(df[text_col].cast("string").cast("binary"))
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), key.alias("key"))
+    return df.select(row_of(df.columns), key.alias("key"))
 
 
 def _pivots() -> np.ndarray:
@@ -168,11 +168,16 @@ def links(nodes: DataFrame, radius: int = 3, bits: int = 64, tile: int = TILE) -
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int = 3) -> DataFrame:
-    """(id long, fp long, component long): component is the smallest id reachable over links, the row's own included."""
+    """(id long, fp long, component long): component is the smallest id reachable over links, the row's own included.
+
+    A row without an id links like any other; a component whose rows all have none has a null name."""
     marks = written(fingerprints(df, id_col, text_col, size), "fingerprints")
-    nodes = written(marks.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    parts = connected_components(links(nodes, radius))
-    named = nodes.join(parts, nodes.id == parts.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
+    # a fingerprint names its node, so that rows without an id link like any other
+    nodes = written(marks.groupBy("fp").agg(F.min("id").alias("least")).select(F.col("fp").alias("id"), "fp", "least"), "nodes")
+    parts = connected_components(links(nodes.select("id", "fp"), radius))
+    parts = nodes.join(parts, nodes.id == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    names = parts.groupBy("part").agg(F.min("least").alias("component"))
+    named = parts.join(names, "part").select("fp", "component")
     return marks.join(named, "fp").select("id", "fp", "component")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import coded, slices
-from .common import by_group, connected_components, given_back, prepare, released, written
+from .common import by_group, connected_components, given_back, prepare, released, row_of, written
 from .decontaminate import _mix, shingles, word_codes
 
 SIZE, LEAST = 5, 0.8
@@ -126,7 +126,7 @@ def marked(df: DataFrame, text_col: str, size: int, least: float) -> DataFrame:
 
     # only texts go to Python and only marks come back; the rows wait in the JVM
     marks = F.arrow_udf(run, "key long, n int, prefix array<long>, bits binary, wide binary")(df[text_col].cast("string"))
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), marks.alias("mark")).select("row", "mark.*")
+    return df.select(row_of(df.columns), marks.alias("mark")).select("row", "mark.*")
 
 
 def candidates(rows: DataFrame, least: float, star: bool, tile: int = TILE) -> DataFrame:

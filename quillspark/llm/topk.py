@@ -12,7 +12,7 @@ Every block has the queries stream past it in batches, so a task holds one block
 broadcast. Each vector is sent once, each query once a block.
 
 Scores are whole numbers. Where no sum can reach 2^53 they are computed as doubles, which are then exact, and otherwise as
-64-bit integers; where a sum could leave 64 bits the search fails with an error rather than give a wrong score.
+64-bit integers; where a component or a sum could leave 64 bits the search fails with an error rather than give a wrong score.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, or that have no id, take no part;
 vectors that are shorter than others count as having zeros; of equal scores the smaller id wins; a query's own id is left
@@ -41,7 +41,7 @@ BLOCK = 4096
 
 def number_kind(x: np.ndarray, queries: np.ndarray) -> type:
     """Doubles where no sum of products can reach 2^53, 64-bit integers where none can reach 2^63; else an error."""
-    most = lambda a: int(max(abs(a.max(initial=0)), abs(a.min(initial=0))))
+    most = lambda a: max(int(a.max(initial=0)), -int(a.min(initial=0)))
     bound = 2 * x.shape[1] * most(x) * most(queries)  # twice, as bounds add two such sums
     if bound < 1 << 53:
         return np.float64
@@ -175,7 +175,12 @@ def whole(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> Dat
     """(vec_id, v): components times the scale, rounded down; rows that take no part are left out."""
     v = F.col(vector_col)
     fit = F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x))
-    return df.where(fit).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    return df.where(fit).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: _floor(x.cast("double") * scale)).alias("v"))
+
+
+def _floor(x):
+    """Rounded down; what a 64-bit integer cannot hold is an error, as a rounded-off value would give wrong scores."""
+    return F.when(F.abs(x) < float(1 << 63), F.floor(x).cast("long")).otherwise(F.raise_error(F.lit("a component may not fit in 64 bits")).cast("long"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

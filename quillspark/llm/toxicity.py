@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coded, slices
-from .common import labelled_sample, prepare
+from .common import labelled_sample, prepare, row_of
 
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, WIDE, HIDDEN = 1 << 13, 1 << 15, 8, 8
@@ -355,7 +355,7 @@ def kept(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", th
             found = [score_texts(shared.value, part)[0] for part in slices(texts)]
             yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.arrow_udf(run, "double")(df[text_col].cast("string")).alias("score"))
+    rows = df.select(row_of(df.columns), F.arrow_udf(run, "double")(df[text_col].cast("string")).alias("score"))
     return rows.where(F.col("score") < threshold).select("row.*")
 
 

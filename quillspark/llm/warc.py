@@ -16,6 +16,7 @@ left out; an empty table gives no rows and no files.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,9 +38,16 @@ SCHEMA = "archive string, record_id string, record_type string, uri string, refe
 def _open(folder: str):
     from pyarrow import fs
 
+    folder = re.sub("^s3[an]://", "s3://", folder)
     return fs.FileSystem.from_uri(folder) if "://" in folder else fs.FileSystem.from_uri(folder.removeprefix("file:")) if folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with its scheme: where Spark's default file system is not the local one, a bare path lies in that."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return folder if ":" in folder.split("/")[0] or default.startswith("file:") else default.rstrip("/") + folder
+
+
 def record_head(name: str, kind: str, uri: str | None, refers_to: str | None, size: int, digest: str) -> bytes:
     """All of a record before its payload: the WARC fields, an empty line, the HTTP head."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -67,7 +75,7 @@ def write(df: DataFrame, id_col: str, payload_col: str, uri_col: str | None = No
     """Writes a record for each row; returns the manifest (archive string, records long, bytes long), itself written."""
     spark = df.sparkSession
     prepare(spark)
-    folder = folder or shared_dir(spark, "warc")
+    folder = qualified(spark, folder or shared_dir(spark, "warc"))
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), (F.col(uri_col) if uri_col else F.lit(None)).cast("string").alias("uri"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"))
@@ -103,14 +111,18 @@ def write(df: DataFrame, id_col: str, payload_col: str, uri_col: str | None = No
 def _inflated(stream, limit: int = CHUNK) -> Iterator[tuple[bytes, bool]]:
     """Pieces of the inflated members of a gzip stream, at most so long, and whether one ends a member."""
     opener, data = zlib.decompressobj(31), b""
+    begun = False
     while data or (data := stream.read(limit)):
+        begun = True
         piece = opener.decompress(data, limit)
         data = opener.unconsumed_tail or opener.unused_data
         if opener.eof:
             yield piece, True
-            opener = zlib.decompressobj(31)
+            opener, begun = zlib.decompressobj(31), False
         elif piece:
             yield piece, False
+    if begun:
+        raise ValueError("an archive ends inside a record")
 
 
 def chunks(stream, archive: str = "", limit: int = CHUNK) -> Iterator[dict]:
