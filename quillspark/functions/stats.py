@@ -36,3 +36,37 @@ def log_odds(y: Column, n: Column, a: Column, total: Column | float) -> Column:
 def pick_key(*parts: Column | str, salt: str = "-42") -> Column:
     """A fixed pseudo-random order, the same in every engine that has md5."""
     return F.md5(F.concat(*[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts], F.lit(salt)))
+
+
+def student_tail(t: float, df: float) -> float:
+    """Probability that a Student number with df degrees of freedom is as far from 0 as t, by a continued fraction."""
+    from math import exp, lgamma, log
+
+    if df <= 0 or t != t:
+        return float("nan")
+    x = df / (df + t * t)
+    if x >= 1:
+        return 1.0
+    a, b, flip = df / 2, 0.5, x > (df / 2 + 1) / (df / 2 + 2.5)
+    if flip:  # the fraction settles fast on one side only
+        a, b, x = b, a, 1 - x
+    if x <= 0:
+        return 1.0 if flip else 0.0
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
+    tiny = 1e-300
+    f, c, d = 1.0, 1.0, 0.0
+    for i in range(400):
+        m = i // 2
+        if i == 0:
+            step = 1.0
+        elif i % 2 == 0:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + step * d or tiny)
+        c = 1 + step / c or tiny
+        f *= c * d
+        if abs(1 - c * d) < 1e-15:
+            break
+    value = front * f
+    return 1 - value if flip else value

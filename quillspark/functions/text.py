@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import json
 from functools import reduce
 
 import pandas as pd
@@ -92,9 +93,45 @@ def letters_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z]", "")
 
 
+def named_references() -> dict[str, str]:
+    """What each named character reference stands for, with and without a semicolon, by the standard library's table."""
+    from html.entities import html5
+
+    return html5
+
+
+def _code_point(n: Column) -> Column:
+    """The text of a numeric reference: what the standard reads into bytes of Windows-1252, nothing for what it forbids."""
+    from html import unescape
+
+    odd = {i: unescape(f"&#{i};") for i in [*range(0x20), *range(0x7F, 0xA0)]}
+    table = F.create_map(*[F.lit(x) for i, c in odd.items() for x in (i, c)])
+    n = n.cast("long")
+    bad = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    none = n.between(0xFDD0, 0xFDEF) | (n == 0xB) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(bad, "\ufffd").when(none, "").when((n < 0x20) | n.between(0x7F, 0x9F), F.element_at(table, n.cast("int"))).otherwise(plain)
+
+
 def unescaped(c: Column) -> Column:
-    more = [("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#8220;", "“"), ("&#8221;", "”"), ("&#8217;", "’"), ("&#8216;", "‘"), ("&apos;", "'"), ("&#039;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&#034;", '"'), ("&#8230;", "…"), ("&amp;", "&")]
-    return reduce(lambda e, x: F.replace(e, F.lit(x[0]), F.lit(x[1])), more, F.coalesce(c, F.lit("")))
+    """Text with all character references decoded, in one pass: named (the longest known name counts, where the semicolon is
+    missing), decimal and hexadecimal. What is no reference stays; what a reference stands for is not read again."""
+    names = F.from_json(F.lit(json.dumps(named_references())), "map<string,string>")  # constant, so it is made once
+    short = sorted({len(x) for x in named_references() if not x.endswith(";")}, reverse=True)
+
+    def one(p: Column) -> Column:
+        number, name = F.regexp_extract(p, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0), F.regexp_extract(p, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        digits = F.regexp_replace(F.regexp_extract(number, "([0-9a-fA-F]+);?$", 1), "^0+(?=.)", "")
+        # more digits than any code point has are past them all
+        value = F.when(number.rlike("^#[xX]"), F.conv(F.left(digits, F.lit(8)), 16, 10)).otherwise(F.left(digits, F.lit(10))).cast("long")
+        known = F.coalesce(*[F.when(F.length(name) >= k, F.concat(names[F.left(name, F.lit(k))], F.substr(p, F.lit(k + 1)))) for k in short])
+        named = F.coalesce(F.concat(names[name], F.substr(p, F.length(name) + 1)), known, F.concat(F.lit("&"), p))
+        return F.when(number != "", F.concat(_code_point(value), F.substr(p, F.length(number) + 1))).when(name != "", named).otherwise(F.concat(F.lit("&"), p))
+
+    text = F.coalesce(c, F.lit(""))
+    parts = F.split(text, "&", -1)
+    done = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)), "")
+    return F.when(F.contains(text, F.lit("&")), done).otherwise(text)
 
 
 def cleaned(c: Column, masks: str = MASKS) -> Column:

@@ -234,14 +234,15 @@ def _again(rows: DataFrame, models: list[bo.Model]) -> DataFrame:
     return rows.select("fold", "y", "bins").mapInArrow(run, "fold int, y int, p array<double>")
 
 
-def ranked_in(df: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+def ranked_in(df: DataFrame, by: str, order: list[str], name: str, amount: str | None = None) -> DataFrame:
     """Row numbers from 1 within few large groups: rows are ordered by ranges, each range numbers its own, and the counts of
-    the ranges before are added. No group is sorted in one task."""
+    the ranges before are added. No group is sorted in one task. amount: if given, running sums of it, not of rows."""
     parts = df.repartitionByRange(by, *order).withColumn("part", F.spark_partition_id())
     parts = stored(parts, "ranges")
-    own = F.row_number().over(Window.partitionBy("part", by).orderBy(*order))
-    sizes = parts.groupBy(by, "part").agg(F.count("*").alias("m"))
-    before = sizes.select(by, "part", (F.sum("m").over(Window.partitionBy(by).orderBy("part")) - F.col("m")).alias("before"))
+    one = F.lit(1) if amount is None else F.col(amount)
+    own = F.sum(one).over(Window.partitionBy("part", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = parts.groupBy(by, "part").agg(F.sum(one).alias("s"))
+    before = sizes.select(by, "part", (F.sum("s").over(Window.partitionBy(by).orderBy("part")) - F.col("s")).alias("before"))
     return parts.withColumn("own", own).join(sized(before), [by, "part"]).withColumn(name, F.col("own") + F.col("before")).drop("own", "before", "part")
 
 

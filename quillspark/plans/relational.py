@@ -74,15 +74,18 @@ def q05b(spark, d):
     return rated(spark, d).agg(*sums).select(F.expr(f"stack({len(sums)}, {', '.join(f'{i}, s{i}' for i in range(len(sums)))}) AS (step, n)"))
 
 
-@query("q06_ordinal_codes", f"""WITH {OUTLETS} SELECT source, CASE factuality WHEN 'very low' THEN 0 WHEN 'low' THEN 1 WHEN 'mixed' THEN 2 WHEN 'high' THEN 3 WHEN 'very high' THEN 4 END AS fact,
+@query("q06_ordinal_codes", f"""WITH {BOTH}, o AS (SELECT source, CASE factuality WHEN 'very low' THEN 0 WHEN 'low' THEN 1 WHEN 'mixed' THEN 2 WHEN 'high' THEN 3 WHEN 'very high' THEN 4 END AS fact,
   CASE side WHEN 'left' THEN -1 WHEN 'centre' THEN 0 ELSE 1 END AS lean, CASE bias WHEN 'center' THEN 0 WHEN 'left-center' THEN 1 WHEN 'right-center' THEN 1 WHEN 'left' THEN 2 WHEN 'right' THEN 2 WHEN 'far left' THEN 3 WHEN 'far right' THEN 3 END AS extremity,
-  CASE WHEN kind IN ('News') THEN 'news' ELSE 'other' END AS class FROM outlets""")
+  CASE WHEN kind IN ('News') THEN 'news' ELSE 'other' END AS class FROM outlets) SELECT source, fact, lean, extremity, class, count(*) AS n, CAST(max(l.quality * fact) AS INTEGER) AS most FROM o JOIN documents USING (source) LEFT JOIN labels l USING (doc_id) GROUP BY ALL""")
 def q06(spark, d):
     code = lambda c, m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col(c)]
-    return outlets(spark).select(
+    """Codes of the outlets' labels, on their documents: how many each has, and the highest code of a good one."""
+    o = outlets(spark).select(
         "source", code("factuality", {"very low": 0, "low": 1, "mixed": 2, "high": 3, "very high": 4}).alias("fact"), code("side", {"left": -1, "centre": 0, "right": 1}).alias("lean"),
         code("bias", {"center": 0, "left-center": 1, "right-center": 1, "left": 2, "right": 2, "far left": 3, "far right": 3}).alias("extremity"), F.when(F.col("kind") == "News", "news").otherwise("other").alias("class"),
     )
+    rows = table(spark, d, "documents").select("doc_id", "source").join(F.broadcast(o), "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.groupBy("source", "fact", "lean", "extremity", "class").agg(F.count("*").alias("n"), F.max(F.col("quality") * F.col("fact")).cast("int").alias("most"))
 
 
 @query("q07_domain_checks", """SELECT count(*) AS n, count(*) - count(DISTINCT c_custkey) AS repeated, count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')) AS outside,
@@ -118,22 +121,28 @@ def q09(spark, d):
     return tag("only_a", a.subtract(b)).unionByName(tag("only_b", b.subtract(a))).unionByName(tag("both", a.intersect(b))).unionByName(tag("any", a.unionByName(b).distinct())).unionByName(tag("missing", o.join(a, "source", "left_anti").select("source")))
 
 
-_LEFT = "SELECT source, ' ' || upper(source) || CASE WHEN i % 2 = 0 THEN '.' ELSE '' END AS name, i % 5 AS own FROM (SELECT source, CAST(substr(source, 4) AS INTEGER) AS i FROM outlets)"
+_LEFT = "SELECT ' ' || upper(source) || CASE WHEN CAST(substr(source, 4) AS INTEGER) % 2 = 0 THEN '.' ELSE '' END AS name, CAST(least(4, floor(5 * avg(quality))) AS INTEGER) AS own, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source"
 
 
 @query("q10_normalised_key_join", f"""WITH {OUTLETS}, l AS ({_LEFT}), r AS (SELECT source, factuality FROM outlets WHERE kind = 'News'),
-  m AS (SELECT l.name, l.own, coalesce(x.factuality, y.factuality) AS factuality, CASE WHEN x.source IS NOT NULL THEN 'exact' WHEN y.source IS NOT NULL THEN 'letters' ELSE 'none' END AS how
-        FROM l LEFT JOIN r x ON lower(trim(l.name)) = x.source LEFT JOIN r y ON x.source IS NULL AND regexp_replace(lower(l.name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(y.source), '[^a-z0-9]', '', 'g'))
-  SELECT name, how, CASE factuality WHEN 'very low' THEN 0 WHEN 'low' THEN 1 WHEN 'mixed' THEN 2 WHEN 'high' THEN 3 WHEN 'very high' THEN 4 END - CAST(own AS INTEGER) AS steps FROM m""")
+  m AS (SELECT l.name, l.own, l.n, coalesce(x.factuality, y.factuality) AS factuality, CASE WHEN x.source IS NOT NULL THEN 'exact' WHEN y.source IS NOT NULL THEN 'letters' ELSE 'none' END AS how
+        FROM l LEFT JOIN r x ON lower(trim(l.name)) = x.source LEFT JOIN r y ON x.source IS NULL AND regexp_replace(lower(l.name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(y.source), '[^a-z0-9]', '', 'g')),
+  s AS (SELECT name, how, n, CASE factuality WHEN 'very low' THEN 0 WHEN 'low' THEN 1 WHEN 'mixed' THEN 2 WHEN 'high' THEN 3 WHEN 'very high' THEN 4 END - own AS steps FROM m)
+  SELECT name, how, n, steps, CASE WHEN steps IS NULL THEN 'unrated' WHEN steps = 0 THEN 'agree' WHEN abs(steps) = 1 THEN 'near' ELSE 'disagree' END AS verdict FROM s""")
 def q10(spark, d):
-    o = outlets(spark)
-    left = o.withColumn("i", F.substring("source", 4, 2).cast("int")).select(F.concat(F.lit(" "), F.upper("source"), F.when(F.col("i") % 2 == 0, ".").otherwise("")).alias("name"), (F.col("i") % 5).alias("own"))
+    """Outlets as documents name them, with a rating from their labels, against the list of outlets: by the trimmed name in
+    lower case, else by letters and digits alone; and how many steps apart the two ratings are."""
+    known = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    rated = known.groupBy("source").agg(F.least(F.lit(4), F.floor(5 * F.avg("quality"))).cast("int").alias("own"), F.count("*").alias("n"))
+    left = rated.select(F.concat(F.lit(" "), F.upper("source"), F.when(F.substring("source", 4, 2).cast("int") % 2 == 0, ".").otherwise("")).alias("name"), "own", "n")
     key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    right = o.where("kind = 'News'")
+    right = outlets(spark).where("kind = 'News'")
     x, y = right.select(F.col("source").alias("xs"), F.col("factuality").alias("xf")), right.select(key(F.col("source")).alias("ys"), F.col("factuality").alias("yf"))
-    m = left.join(x, tx.normal_key(F.col("name")) == F.col("xs"), "left").join(y, F.col("xs").isNull() & (key(F.col("name")) == F.col("ys")), "left")
+    m = left.join(F.broadcast(x), tx.normal_key(F.col("name")) == F.col("xs"), "left").join(F.broadcast(y), F.col("xs").isNull() & (key(F.col("name")) == F.col("ys")), "left")
     code = F.create_map(*[F.lit(v) for kv in {"very low": 0, "low": 1, "mixed": 2, "high": 3, "very high": 4}.items() for v in kv])
-    return m.select("name", F.when(F.col("xs").isNotNull(), "exact").when(F.col("ys").isNotNull(), "letters").otherwise("none").alias("how"), (code[F.coalesce("xf", "yf")] - F.col("own")).alias("steps"))
+    steps = code[F.coalesce("xf", "yf")] - F.col("own")
+    how = F.when(F.col("xs").isNotNull(), "exact").when(F.col("ys").isNotNull(), "letters").otherwise("none")
+    return m.select("name", how.alias("how"), "n", steps.alias("steps"), F.when(steps.isNull(), "unrated").when(steps == 0, "agree").when(F.abs(steps) == 1, "near").otherwise("disagree").alias("verdict"))
 
 
 @query("q11_domain_mode", """WITH c AS (SELECT split_part(split_part(url, '://', 2), '/', 1) AS domain, regexp_extract(url, '/(de|en|es|fr)/', 1) AS lang FROM pages), n AS (SELECT lang, domain, count(*) AS n FROM c GROUP BY ALL)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.stats import pick_key
 from quillspark.operators import clusters as cl
+from quillspark.operators import linkage as lk
 from quillspark.operators import partisanship as pt
 from quillspark.sources.tables import stored, table
 
@@ -119,6 +120,14 @@ def q57c(spark, d):
     return cl.stability(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 10, (1, 2, 3))
 
 
+@query("q57e_linkage")
+def q57e(spark, d):
+    """Ward's, complete and average linkage, cut into ten clusters: their sizes and how many of the topics' labels each holds."""
+    rows = table(spark, d, "embeddings")
+    found = lk.clustered(rows, "vec_id", "embedding", 10, most=300)
+    return found.join(rows.select(F.col("vec_id").alias("id"), "label"), "id").groupBy("method", "cluster").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
+
+
 @query("q57d_mutual_information")
 def q57d(spark, d):
     """Adjusted mutual information and adjusted Rand index of clusters and sides, by year."""

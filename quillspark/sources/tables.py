@@ -101,3 +101,61 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def _files(spark: SparkSession, path: str):
+    """(Hadoop's file system of the path, a function that makes its paths)."""
+    context = spark.sparkContext
+    make = context._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(context._jsc.hadoopConfiguration()), make
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of a versioned table, oldest first."""
+    system, make = _files(spark, path)
+    if not system.exists(make(path)):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(make(path))]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and n.removeprefix("version=").isdigit())
+
+
+def write_version(df: DataFrame, path: str, report: list[str] = ()) -> int:
+    """Writes the rows as the next version and returns its number; earlier ones stay, the first run included.
+
+    Rows and report lines are written to a folder of their own, which gets the version's name in the end: readers see a version
+    whole or not at all, and a failed write leaves the last one as it was.
+    """
+    spark = df.sparkSession
+    system, make = _files(spark, path)
+    draft = f"{path.rstrip('/')}/_draft-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(f"{draft}/rows")
+        spark.createDataFrame([(i, line) for i, line in enumerate(report)], "k int, line string").coalesce(1).sort("k").write.parquet(f"{draft}/report")
+        number = (versions(spark, path) or [0])[-1] + 1
+        while not system.rename(make(draft), make(f"{path.rstrip('/')}/version={number}")):  # another writer was first
+            if number not in versions(spark, path):
+                raise OSError(f"cannot name version {number} of {path}")
+            number += 1
+        return number
+    except BaseException:
+        system.delete(make(draft), True)
+        raise
+
+
+def read_version(spark: SparkSession, path: str, number: int | None = None, part: str = "rows") -> DataFrame:
+    """Rows, or report lines, of a version: the last whole one, or the one asked for."""
+    number = number or (versions(spark, path) or [0])[-1]
+    if not number:
+        raise FileNotFoundError(f"no whole version in {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/version={number}/{part}")
+
+
+def profile_files(spark: SparkSession, folder: str, pattern: str = "*", sep: str = "\t") -> DataFrame:
+    """(path, length, lines, terms of several words, longest line) of text files under a folder; a first field is a term.
+    Files without a byte are not listed."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    several = F.split_part("value", F.lit(sep), F.lit(1)).rlike(r"\S\s+\S")
+    found = lines.groupBy("path").agg(F.count("*").alias("lines"), F.count_if(several).alias("several"), F.max(F.length("value")).alias("longest"))
+    files = discover_files(spark, folder, pattern)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return files.select(plain(F.col("path")).alias("path"), "length").join(found.withColumn("path", plain(F.col("path"))), "path", "left").fillna(0, ["lines", "several"])

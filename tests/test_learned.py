@@ -343,3 +343,13 @@ def test_ordinal_bootstrap_equals_serial_loop(spark):
         each.append(md.fit_ordinal(y[on], x[on])[0])
     ends = np.exp(np.percentile(each, [2.5, 97.5], axis=0))
     assert [(r.lo, r.hi) for r in got] == [pytest.approx(tuple(e), rel=1e-3) for e in ends.T] and got[0].converged == got[0].draws == 8
+
+
+def test_student_tail_and_rank_correlation(spark, tmp_path):
+    from quillspark.functions.stats import student_tail
+
+    for t, df, p in ((12.706204736432095, 1, 0.05), (2.2281388519649385, 10, 0.05), (1.9839715184496334, 100, 0.05), (0.0, 7, 1.0), (-2.570581835636314, 5, 0.05)):
+        assert student_tail(t, df) == pytest.approx(p, abs=1e-12)
+    df = spark.createDataFrame([(0, i // 3, 2) for i in range(30)], "f int, o int, m int").distinct()
+    got = ev.ranked_in(df.repartition(4), "f", ["o"], "k", "m").collect()
+    assert {r.o: r.k for r in got} == {i: 2 * (i + 1) for i in range(10)}
