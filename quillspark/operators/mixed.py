@@ -106,9 +106,23 @@ class Likelihood:
         np.add.at(rest, at, w[:, None] * sums[:, 0])
         h[:q, q:], h[q:, :q] = rest, rest.T
         h[q:, q:] = (w[:, None, None] * sums).sum(0)
+        self._estimable()
         self.n, self.log_weights = float((times[cells.a] * cells.rows).sum()), cells.log_weights
         self.size = 2 if self.r == 1 else 4
 
+    def _estimable(self) -> None:
+        """Leaves out fixed effects that those before them determine, as a year that no row has; their estimates are nan."""
+        q, keep = self.q, []
+        xx = self.whole[q:, q:]
+        for j in range(self.p):
+            known = xx[np.ix_(keep, keep)]
+            left = xx[j, j] - (xx[j, keep] @ np.linalg.solve(known, xx[keep, j]) if keep else 0.0)
+            if left > 1e-8 * max(xx[j, j], 1e-300):
+                keep.append(j)
+        self.keep, self.all = np.array(keep, int), self.p
+        on = np.concatenate([np.arange(q), q + self.keep, [q + self.p]])
+        self.outer, self.whole, self.p = self.outer[:, :, on], self.whole[np.ix_(on, on)], len(keep)
+
     def factor(self, t: np.ndarray) -> np.ndarray:
         return np.array([[abs(t[0])]]) if self.r == 1 else np.array([[abs(t[0]), 0.0], [t[1], abs(t[2])]])
 
@@ -132,8 +146,9 @@ class Likelihood:
         start = np.array([1.0, 1.0] if self.r == 1 else [1.0, 0.0, 1.0, 1.0])
         t, done = minimised(lambda x: self.solved(x, reml)[0], start)
         deviance, beta, sigma, inverse = self.solved(t, reml)
-        f = self.factor(t)
-        return Fit(beta, np.sqrt(np.maximum(sigma * np.diag(inverse), 0)), sigma * f @ f.T, sigma * t[-1] ** 2, sigma, deviance, self.n, self.p + self.size + 1, done, bool(min(*np.diag(f), abs(t[-1])) < 1e-4))
+        f, effects = self.factor(t), np.full((2, self.all), np.nan)
+        effects[:, self.keep] = beta, np.sqrt(np.maximum(sigma * np.diag(inverse), 0))
+        return Fit(effects[0], effects[1], sigma * f @ f.T, sigma * t[-1] ** 2, sigma, deviance, self.n, self.p + self.size + 1, done, bool(min(*np.diag(f), abs(t[-1])) < 1e-4))
 
 
 @dataclass
@@ -228,9 +243,11 @@ def models(df: DataFrame, specs: dict[str, Spec], a: str, b: str) -> DataFrame:
     out = []
     for name, c in cells_of(df, specs, a, b).items():
         s = specs[name]
+        if not len(c.rows):
+            continue
         m = Likelihood(c, _slope(s)).fit()
         head = (name, int(m.n), len(c.names_a), len(c.names_b))
-        out += [(*head, t, _r(v), _r(e), _r(_p(v / e)) if e else None, None, m.singular, m.converged) for t, v, e in zip(["constant", *s.terms], m.beta, m.se)]
+        out += [(*head, t, _r(v), _r(e), _r(_p(v / e)) if e > 0 else None, None, m.singular, m.converged) for t, v, e in zip(["constant", *s.terms], m.beta, m.se)]
         parts = [(f"variance of {a}", m.covariance[0, 0])] + ([(f"variance of {a}: {s.slope}", m.covariance[1, 1])] if s.slope else []) + [(f"variance of {b}", m.variance), ("variance of residual", m.residual)]
         total = sum(v for _, v in parts)
         out += [(*head, t, _r(v), None, None, _r(v / total), m.singular, m.converged) for t, v in parts]
@@ -244,6 +261,8 @@ def compared(df: DataFrame, specs: dict[str, Spec], a: str, b: str) -> DataFrame
     one before it. Models are comparable only over the same rows; p is null where they are not or nothing is added."""
     out, last = [], None
     for name, c in cells_of(df, specs, a, b).items():
+        if not len(c.rows):
+            continue
         m = Likelihood(c, _slope(specs[name])).fit(reml=False)
         chi, more, p = None, None, None
         if last is not None and last.n == m.n and m.parameters > last.parameters:

@@ -353,3 +353,11 @@ def test_student_tail_and_rank_correlation(spark, tmp_path):
     df = spark.createDataFrame([(0, i // 3, 2) for i in range(30)], "f int, o int, m int").distinct()
     got = ev.ranked_in(df.repartition(4), "f", ["o"], "k", "m").collect()
     assert {r.o: r.k for r in got} == {i: 2 * (i + 1) for i in range(10)}
+
+
+def test_mixed_model_leaves_out_what_cannot_be_estimated(spark):
+    df = spark.createDataFrame(mixed_rows(120, 8, 11), "a string, b string, x double, y double, w double")
+    fit = lambda terms: mx.Likelihood(mx.cells_of(df, {"m": mx.Spec("y", terms)}, "a", "b")["m"]).fit()
+    got, plain = fit({"none": "CAST(x > 99 AS DOUBLE)", "x": "x", "twice": "2 * x + 1"}), fit({"x": "x"})
+    assert np.isnan(got.beta[[1, 3]]).all() and np.allclose(got.beta[[0, 2]], plain.beta) and got.parameters == plain.parameters
+    assert mx.models(df, {"nothing": mx.Spec("y", only="x > 99")}, "a", "b").count() == 0
