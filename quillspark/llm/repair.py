@@ -36,6 +36,9 @@ MOST, LEAST = 4000, 12
 #: bytes of texts that are encoded together.
 PIECES, GATHER = 250_000, 32_000_000
 _NULL = -(1 << 63)
+#: Letters that no Unicode version changes and that are their own NFC; a piece of them is one word.
+_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u017e]"
+_WORD, _WORD_AND_SIGNS = f"^{_LETTERS}+$", f"^(?P<word>{_LETTERS}+)(?P<signs>[!-/:-@\\[-`{{-~]+|[0-9])$"
 
 
 def _mixed(codes: np.ndarray) -> np.ndarray:
@@ -150,11 +153,19 @@ class Library:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        def opened():
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            return tokenizer
+
+        self.tokenizer, self._plain, self._bytes = opened(), opened(), opened()
+        # words that are split and in lower case already need neither rule again; of letters beyond ASCII, the bytes' signs
+        spaces = pre_tokenizers.WhitespaceSplit()
+        for tokenizer, rule in ((self._plain, spaces), (self._bytes, pre_tokenizers.Sequence([spaces, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))):
+            tokenizer.normalizer, tokenizer.pre_tokenizer = normalizers.Sequence([]), rule
         spec = json.load(open(path, encoding="utf-8"))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._known = Cache(self._encode_words, PIECES)
@@ -163,18 +174,35 @@ class Library:
         for name, i in spec["model"]["vocab"].items():
             self.word_ends[i] = name.endswith(spec["model"]["end_of_word_suffix"])
 
-    def _encode_words(self, words: list[str], most: int = 500) -> dict[str, bytes]:
-        """Words between spaces: each ends with its only token of a word end."""
-        out: dict[str, bytes] = {}
-        lines = [words[i : i + most] for i in range(0, len(words), most)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            cuts = ((np.flatnonzero(self.word_ends[ids]) + 1) * 4).tolist()
-            if len(cuts) != len(line):
+    def words(self, words: pa.Array, most: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, where each word's ids end). Words are in lower case and hold no white space; they go to the
+        library in lines, in which each word ends with its only token of a word end."""
+        ascii_ = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        parts, sizes = [], np.zeros(len(words), np.int64)
+        for tokenizer, at in ((self._plain, np.flatnonzero(ascii_)), (self._bytes, np.flatnonzero(~ascii_))):
+            if not len(at):
+                continue
+            borders = np.append(np.arange(0, len(at), most), len(at)).astype(np.int32)
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(borders), words.take(pa.array(at))), " ").to_pylist()
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.word_ends[ids]) + 1
+            if len(ends) != len(at):
                 raise ValueError("a word without a word end")
-            data = ids.tobytes()
-            out.update(zip(line, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
-        return out
+            sizes[at] = np.diff(ends, prepend=0)
+            parts.append((at, ids, ends))
+        ends = np.cumsum(sizes)
+        if len(parts) == 1:
+            return parts[0][1], ends
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        for at, ids, own in parts:
+            n = sizes[at]
+            out[np.repeat(ends[at] - own, n) + np.arange(len(ids))] = ids
+        return out, ends
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        ids, ends = self.words(pa.array(words, pa.string()))
+        data, cuts = ids.astype("<u4", copy=False).tobytes(), (ends * 4).tolist()
+        return dict(zip(words, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
 
     def encode(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of each piece, as little-endian 32-bit integers. Words that pieces share are encoded once.
@@ -212,27 +240,20 @@ def _library(path: str) -> Library:
     return Library(path)
 
 
-def units_of(pieces: pa.Array, library: Library, most: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units_of(pieces: pa.Array, library: Library) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(two units of each distinct piece, the second -1 where it has one; first id, number of ids, ids of the units).
 
-    Most pieces are a word, or a word and one sign: their words are put together by column and go to the library once each,
-    as lines, in which each word ends with its only token of a word end. Any other piece is a unit of its own.
+    Most pieces are a word, or a word and a run of signs: their words are put together by column and go to the library once each.
+    Any other piece is a unit of its own.
     """
-    plain = pc.string_is_ascii(pieces)
-    alpha = pc.and_(plain, pc.ascii_is_alpha(pieces))
-    stems = pc.utf8_slice_codeunits(pieces, 0, -1)
-    two = pc.and_(pc.and_(pc.and_not(plain, alpha), pc.ascii_is_alpha(stems)), pc.ascii_is_printable(pieces))
-    is_one, is_two = (x.to_numpy(zero_copy_only=False) for x in (alpha, two))
-    signs = pc.utf8_slice_codeunits(pieces.filter(two), -1)
-    words = pa.concat_arrays([pc.ascii_lower(pieces.filter(alpha)), pc.ascii_lower(stems.filter(two)), signs]).dictionary_encode()
+    one = pc.match_substring_regex(pieces, _WORD)
+    split = pc.extract_regex(pieces, _WORD_AND_SIGNS)
+    two = pc.is_valid(split)
+    is_one, is_two = (x.to_numpy(zero_copy_only=False) for x in (one, two))
+    stems, signs = split.filter(two).flatten()
+    words = pa.concat_arrays([pc.utf8_lower(pieces.filter(one)), pc.utf8_lower(stems), signs]).dictionary_encode()
     at, known = words.indices.to_numpy(), words.dictionary
-    borders = np.append(np.arange(0, len(known), most), len(known))
-    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(borders, pa.int32()), known), " ").to_pylist() if len(known) else []
-    found = [np.array(e.ids, np.uint32) for e in library.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
-    ids = np.concatenate([*found, np.zeros(0, np.uint32)])
-    ends = np.flatnonzero(library.word_ends[ids]) + 1
-    if len(ends) != len(known):
-        raise ValueError("a word without a word end")
+    ids, ends = library.words(known)
     others = np.flatnonzero(~(is_one | is_two))
     chunks = pieces.take(pa.array(others)).to_pylist()
     made = library.encode(chunks)

@@ -60,3 +60,21 @@ def test_stages_keep_columns_with_dots_in_their_names(spark):
         pii.redacted(found, "text", pii.classifier(found)),
     ):
         assert got.columns == df.columns and [(r[0], r[2], r[3]) for r in got.collect()] == [(1, 5, "x")]
+
+
+def test_op8_words_of_all_letters():
+    """Pieces that are split by column get the library's own ids, whatever letters and signs they hold."""
+    import random
+
+    import pyarrow as pa
+    from quillspark.llm.bpe import default_vocabulary
+    from quillspark.llm.repair import _library, ids_of
+
+    drawn = random.Random(5)
+    letters = [chr(c) for c in [*range(33, 127), *range(0xA0, 0x180), 0x301, 0x4E2D, 0x1F600]] + ["'s", "<|endoftext|>", "<|", "***", " ", "\t", "\x85"]
+    texts = ["".join(drawn.choice(letters) for _ in range(drawn.randrange(60))) for _ in range(500)]
+    texts += ["Été*** ÇA, œuvre. straße's ß9 aª µm İx ŉa ſt x' d'été l'été' foo<|endoftext|> Ĳ ĳ ÿ×÷", "", " \n ", "a" * 3000, "é" * 3000 + "!" * 50]
+    library = _library(default_vocabulary())
+    ids, ends = ids_of(pa.array(texts), library, 1)
+    for text, start, end in zip(texts, [0, *ends.tolist()], ends.tolist()):
+        assert ids[start:end].tolist() == [*library.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
