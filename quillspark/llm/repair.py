@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -291,7 +292,8 @@ def ids_of(texts: pa.Array, library: Library, end_id: int) -> tuple[np.ndarray,
 def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, end_id: int = 1, segment: int = SEGMENT) -> str:
     """Writes the ids of all texts in ascending id order; returns the folder.
 
-    One row a segment: first_doc, seq (order within equal first_doc), n_ids, docs (64-bit ids), sizes (32-bit), payload.
+    One row a segment: part (range of ids, ascending), seq (order in the part), n_ids, docs (64-bit ids), sizes (32-bit),
+    payload.
     A segment ends with the document that fills it, so its memory is bounded by the segment and one document.
     """
     spark = df.sparkSession
@@ -303,11 +305,12 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
         gc.disable()  # the caches are large and nothing here makes cycles
         library = _library(path)
         docs, sizes, parts, held, seq = [], [], [], 0, 0
+        part_no = TaskContext.get().partitionId()
 
         def row() -> pa.RecordBatch:
             doc, size, ids = np.concatenate(docs), np.concatenate(sizes), np.concatenate(parts)
-            values = [int(doc[0]), seq, len(ids), doc.tobytes(), size.astype("<u4").tobytes(), compress(ids, library.size)]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["first_doc", "seq", "n_ids", "docs", "sizes", "payload"])
+            values = [part_no, seq, len(ids), doc.tobytes(), size.astype("<u4").tobytes(), compress(ids, library.size)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "seq", "n_ids", "docs", "sizes", "payload"])
 
         try:
             for b in gathered(batches, GATHER):
@@ -336,7 +339,7 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str | None = None, en
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id")
-    rows.mapInArrow(run, "first_doc long, seq long, n_ids long, docs binary, sizes binary, payload binary").write.parquet(folder)
+    rows.mapInArrow(run, "part long, seq long, n_ids long, docs binary, sizes binary, payload binary").write.parquet(folder)
     return folder
 
 
@@ -344,9 +347,13 @@ def read(spark, folder: str, with_ids: bool = True) -> DataFrame:
     """(id long, start long, n_tokens long, ids_crc32 long[, ids array<long>]) of every document, from the files."""
     prepare(spark)
     table = spark.read.parquet(folder)
-    # one small row a segment, so one task can order them
-    starts = table.select("first_doc", "seq", (F.sum("n_ids").over(Window.orderBy("first_doc", "seq").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    table = table.join(F.broadcast(starts) if starts.count() <= 100_000 else starts, ["first_doc", "seq"])
+    # one row a part is ordered by one task; the segments of a part by a task of their own
+    parts = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select("part", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    starts = table.select("part", "seq", inside.alias("inside")).join(parts, "part")
+    starts = starts.select("part", "seq", (F.coalesce("earlier", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("before"))
+    table = table.join(F.broadcast(starts) if table.count() <= 100_000 else starts, ["part", "seq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,7 +364,7 @@ def read(spark, folder: str, with_ids: bool = True) -> DataFrame:
                 starts = ends - sizes
                 data = memoryview(ids.tobytes())
                 crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                columns = [pa.array(docs, pa.int64(), mask=docs == _NULL), pa.array(starts + (before or 0)), pa.array(sizes), pa.array(crc, pa.int64())]
+                columns = [pa.array(docs, pa.int64(), mask=docs == _NULL), pa.array(starts + before), pa.array(sizes), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(ids, pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
