@@ -9,6 +9,7 @@ from quillspark.functions import text as tx
 from quillspark.functions.stats import mean_rank, spearman_brown, wilson, zscore
 from quillspark.operators import agreement as ag
 from quillspark.operators import partisanship as pt
+from quillspark.operators.ordering import ahead, correlations
 from quillspark.sources.tables import stored, table
 
 from .base import ARTICLES, BOTH, TERMS, articles, outlets, query
@@ -131,16 +132,8 @@ def q31(spark, d):
 @query("q32_correlations", _FRAME + """, k AS (SELECT *, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rx, rank() OVER (ORDER BY lines) + (count(*) OVER (PARTITION BY lines) - 1) / 2.0 AS ry FROM frame)
   SELECT count(*) AS n, round(corr(n_chars, lines), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM k""")
 def q32(spark, d):
-    # ranks of distinct values from their counts: the window sees values, not rows
-    f = frame(spark, d)
-
-    def ranks(c: str) -> DataFrame:
-        n = f.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return n.select(c, (F.coalesce(before, F.lit(0)) + 1 + (F.col("n") - 1) / 2).alias(f"r_{c}"))
-
-    k = f.join(ranks("n_chars"), "n_chars").join(ranks("lines"), "lines")
-    return k.agg(F.count("*").alias("n"), r6(F.corr("n_chars", "lines")).alias("pearson"), r6(F.corr("r_n_chars", "r_lines")).alias("spearman"))
+    c = correlations(frame(spark, d), "n_chars", "lines")
+    return c.select("n", r6(F.col("pearson")).alias("pearson"), r6(F.col("spearman")).alias("spearman"))
 
 
 #: Replicates of split halves, bootstraps and permutations.
@@ -282,9 +275,9 @@ def q38b(spark, d):
 @query("q40_coder_agreement", f"""WITH x AS (SELECT doc_id, {_RATE(0)} AS a, {_RATE(1)} AS b, {_RATE(2)} AS c, row_number() OVER (ORDER BY doc_id) AS k FROM labels) SELECT CAST((k - 1) // 20 AS BIGINT) AS block, count(*) AS n, round(avg((a + b + c) / 3.0), 6) AS mean,
   round(avg(CAST(a = b AND b = c AS INT)), 6) AS exact, round(avg(CAST(abs(a - b) <= 1 AS INT)), 6) AS near_ab, round(avg(CAST(abs(b - c) <= 1 AS INT)), 6) AS near_bc FROM x GROUP BY 1""")
 def q40(spark, d):
-    x = coders(spark, d).withColumn("k", F.row_number().over(Window.orderBy("doc_id")))  # rating sheets are small: people made them
+    x = ahead(coders(spark, d), ["doc_id"], "k")
     near = lambda a, b: r6(F.avg((F.abs(F.col(a) - F.col(b)) <= 1).cast("int")))
-    return x.groupBy(F.floor((F.col("k") - 1) / 20).alias("block")).agg(F.count("*").alias("n"), r6(F.avg((F.col("coder_1") + F.col("coder_2") + F.col("coder_3")) / 3)).alias("mean"), r6(F.avg(F.expr("coder_1 = coder_2 AND coder_2 = coder_3").cast("int"))).alias("exact"), near("coder_1", "coder_2").alias("near_ab"), near("coder_2", "coder_3").alias("near_bc"))
+    return x.groupBy(F.floor(F.col("k") / 20).alias("block")).agg(F.count("*").alias("n"), r6(F.avg((F.col("coder_1") + F.col("coder_2") + F.col("coder_3")) / 3)).alias("mean"), r6(F.avg(F.expr("coder_1 = coder_2 AND coder_2 = coder_3").cast("int"))).alias("exact"), near("coder_1", "coder_2").alias("near_ab"), near("coder_2", "coder_3").alias("near_bc"))
 
 
 @query("q41_leave_one_out", f"WITH {COUNTS}, lo AS (SELECT CAST(substr(source, 4) AS INTEGER) AS rep, source AS gone FROM outlets), weights AS (SELECT rep, source, side, 1 AS m FROM outlets JOIN lo ON source <> gone), {DELTA} SELECT 'src' || rep AS gone, cluster, round(delta, 6) AS delta FROM deltas")
