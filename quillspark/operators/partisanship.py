@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.stats import log_odds
+from quillspark.sources.tables import sized, stored
 
 
 def shares(counts: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def delta(s: DataFrame, weights: DataFrame, alpha: float) -> DataFrame:
 def framing_words(counts: DataFrame, sides: DataFrame, min_tokens: int, min_word: int) -> DataFrame:
     """(cluster, source, word, n, total, side) of the outlets with enough tokens and the words with enough use among them."""
     totals = counts.groupBy("cluster", "source").agg(F.sum("n").alias("total")).where(F.col("total") >= min_tokens)
-    rows = counts.join(F.broadcast(totals), ["cluster", "source"]).join(F.broadcast(sides), "source")
+    rows = counts.join(sized(stored(totals, "totals")), ["cluster", "source"]).join(sized(sides), "source")
     kept = rows.groupBy("cluster", "word").agg(F.sum("n").alias("u")).where(F.col("u") >= min_word).select("cluster", "word")
     return rows.join(kept, ["cluster", "word"])
 
@@ -46,7 +47,7 @@ def framing(rows: DataFrame, weights: DataFrame, alpha: float, least: int) -> Da
     The background is fixed from all outlets of the cluster and made to sum to one; a replicate only reweights the sides.
     Clusters need so many outlets a side.
     """
-    cells = rows.select("cluster", "source", "total").distinct()
+    cells, weights = stored(rows.select("cluster", "source", "total").distinct(), "cells"), sized(weights)
     outlets = cells.groupBy("cluster").agg(F.count("*").alias("k"))
     x = rows.select("cluster", "source", "word", (F.col("n") / F.col("total")).alias("x"))
     pi = x.groupBy("cluster", "word").agg(F.sum("x").alias("sx")).join(F.broadcast(outlets), "cluster").select("cluster", "word", (F.col("sx") / F.col("k")).alias("raw"))
@@ -54,12 +55,13 @@ def framing(rows: DataFrame, weights: DataFrame, alpha: float, least: int) -> Da
     pi = pi.join(F.broadcast(whole), "cluster").select("cluster", "word", (F.col("raw") / F.col("whole")).alias("pi"))
     on = lambda side, v: F.sum(F.when(F.col("side") == side, v).otherwise(0.0))
     m = F.col("m")
-    side = weights.join(F.broadcast(cells), ["cluster", "source"]).groupBy("rep", "cluster").agg(
+    side = weights.join(sized(cells), ["cluster", "source"]).groupBy("rep", "cluster").agg(
         on("right", m).alias("mr"), on("left", m).alias("ml"), on("right", m * F.col("total")).alias("nr"), on("left", m * F.col("total")).alias("nl"), F.count_if(F.col("side") == "right").alias("kr"), F.count_if(F.col("side") == "left").alias("kl")
     ).where((F.col("kr") >= least) & (F.col("kl") >= least))
-    used = x.join(F.broadcast(weights), ["cluster", "source"]).groupBy("rep", "cluster", "word").agg(on("right", m * F.col("x")).alias("xr"), on("left", m * F.col("x")).alias("xl"))
+    side = stored(side, "sides")
+    used = x.join(weights, ["cluster", "source"]).groupBy("rep", "cluster", "word").agg(on("right", m * F.col("x")).alias("xr"), on("left", m * F.col("x")).alias("xl"))
     # words that neither side uses still count for the score
-    grid = F.broadcast(side).join(pi, "cluster").join(used, ["rep", "cluster", "word"], "left").fillna(0.0, ["xr", "xl"])
+    grid = sized(side).join(pi, "cluster").join(used, ["rep", "cluster", "word"], "left").fillna(0.0, ["xr", "xl"])
     a, yr, yl = alpha * F.col("pi"), F.col("xr") / F.col("mr") * F.col("nr"), F.col("xl") / F.col("ml") * F.col("nl")
     d = log_odds(yr, F.col("nr"), a, alpha) - log_odds(yl, F.col("nl"), a, alpha)
     return grid.select("rep", "cluster", "word", "pi", d.alias("delta"), (d / F.sqrt(1 / (yr + a) + 1 / (yl + a))).alias("z"))

@@ -27,7 +27,8 @@ def stratified(df: DataFrame, group: str, stratum: str, id_col: str, most: int)
     counts = df.groupBy(group, stratum).agg(F.count("*").alias("n"))
     alloc = allocation(counts, group, stratum, most).select(group, stratum, "alloc")
     ranked = df.select(group, stratum, id_col, F.row_number().over(Window.partitionBy(group, stratum).orderBy(pick_key(id_col), id_col)).alias("pick"))
-    return ranked.join(F.broadcast(alloc), [group, stratum]).where("pick <= alloc")
+    # the ranks are dealt by the same keys already, so this join moves no row of them
+    return ranked.join(alloc, [group, stratum]).where("pick <= alloc")
 
 
 def grouped_folds(counts: list[tuple[str, int, int]], folds: int) -> dict[str, int]:

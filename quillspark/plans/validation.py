@@ -92,7 +92,7 @@ def q56(spark, d):
     a = articles(spark, d).select("year", "doc_id")
     n = a.groupBy("year").agg(F.count("*").alias("n"))
     k = F.row_number().over(Window.partitionBy("year").orderBy(pick_key("doc_id"), "doc_id"))
-    return a.withColumn("k", k).join(F.broadcast(n), "year").where(F.col("k") <= F.ceil(0.1 * F.col("n"))).select("year", "doc_id")
+    return a.withColumn("k", k).join(n, "year").where(F.col("k") <= F.ceil(0.1 * F.col("n"))).select("year", "doc_id")
 
 
 @query("q57_cluster_quality", """WITH u AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), e AS (SELECT vec_id, label, sum(x * x) AS q FROM u GROUP BY ALL), s AS (SELECT label, i, sum(x) AS s FROM u GROUP BY ALL), c AS (SELECT label, count(*) AS n, sum(q) AS q FROM e GROUP BY label),
