@@ -212,6 +212,48 @@ def q39(spark, d):
     return articles(spark, d).select("doc_id", tx.blinded(F.col("text"), F.col("source")).alias("excerpt"))
 
 
+#: Put into texts for the next two queries: masks of either case, references by name and number, the outlet's own name.
+_MASKED = " <URL> says <selfref> and Selfref, selfref> <Copyright>\n<twitter> &quot;caf&eacute;&quot; &#33; it&#x2019;s &amp;lt; here"
+_DECODED = {"&quot;": '"', "&eacute;": "é", "&#33;": "!", "&#x2019;": "’", "&amp;lt;": "&lt;"}
+
+
+def marked(spark, d) -> DataFrame:
+    """Articles of which two thirds hold masks, references and addresses, and name their outlet in several spellings."""
+    spelt = F.concat(F.lit(" As "), F.upper("source"), F.lit(", "), F.array_join(F.filter(F.split("source", ""), lambda c: c != ""), "-"), F.lit(" and "), F.initcap("source"), F.lit(" wrote at https://www."), F.col("source"), F.lit(".example/a?b and www.example.org: "))
+    put = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit(_MASKED))).when(F.col("doc_id") % 3 == 1, F.concat(spelt, F.lit(_MASKED), F.lit(" "), F.col("text")))
+    return articles(spark, d).withColumn("text", F.coalesce(put, F.col("text")))
+
+
+_SPELT = "' As ' || upper(source) || ', ' || array_to_string(string_split(source, ''), '-') || ' and ' || upper(source[1]) || source[2:] || ' wrote at https://www.' || source || '.example/a?b and www.example.org: '"
+_M = "'" + _MASKED.replace("'", "''") + "'"
+_PUT = f"coalesce(CASE doc_id % 3 WHEN 0 THEN text || {_M} WHEN 1 THEN {_SPELT} || {_M} || ' ' || text END, text)"
+_PLAIN = "put"
+for _found, _is in _DECODED.items():
+    _PLAIN = f"replace({_PLAIN}, '{_found}', '{_is}')"
+_MARKED = f"{ARTICLES.replace('articles AS', 'given AS', 1)}, articles AS (SELECT * EXCLUDE (text, put), {_PLAIN} AS text FROM (SELECT *, {_PUT} AS put FROM given))"
+_MASK_SQL = "(?i)<copyright>|<twitter>|<url>|<?selfref>?"
+
+
+@query("q13d_masks_and_references", f"""WITH {_MARKED}, {CLEAN} SELECT doc_id, CAST(len(regexp_extract_all(text, '{_MASK_SQL}')) AS INTEGER) AS n_masked, length(t) AS n_clean, md5(t) AS clean_md5, len(string_split(t, ' ')) AS n_parts FROM clean JOIN articles USING (doc_id)""")
+def q13d(spark, d):
+    """Cleaning of texts that hold masks and references: how many masks went, and the text that is left."""
+    t = marked(spark, d).select("doc_id", tx.masked(F.col("text"), tx.MASKS_PLAIN).cast("int").alias("n_masked"), tx.cleaned(F.col("text"), tx.MASKS_PLAIN).alias("t"))
+    return t.select("doc_id", "n_masked", F.length("t").cast("long").alias("n_clean"), F.md5("t").alias("clean_md5"), F.size(F.split("t", " ")).cast("long").alias("n_parts"))
+
+
+_NAME = "'(?i)\\b' || array_to_string(string_split(source, ''), '[\\s\\-.]?') || '\\b'"
+
+
+@query("q39b_outlet_names", f"""WITH {_MARKED}, m AS (SELECT doc_id, source, regexp_replace(regexp_replace(text, '(?i)<copyright>|<twitter>|<url>|\\b<?selfref\\b>?|<selfref\\b>?', ' ', 'g'), 'https?://\\S+|www\\.\\S+', ' ', 'g') AS t FROM articles),
+  n AS (SELECT doc_id, CASE WHEN length(source) >= 5 THEN regexp_replace(t, {_NAME}, '[outlet]', 'g') ELSE t END AS t FROM m), a AS (SELECT doc_id, string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ') AS p FROM n), h AS (SELECT doc_id, p, array_to_string(p[1:180], ' ') AS head FROM a),
+  c AS (SELECT *, length(regexp_extract(head, '^(?s)(.*[.!?]) ', 1)) AS cut FROM h), e AS (SELECT doc_id, CASE WHEN len(p) <= 180 THEN array_to_string(p, ' ') ELSE CASE WHEN cut - 1 > length(head) * 0.6 THEN left(head, cut) ELSE head END || ' [...]' END AS excerpt FROM c)
+  SELECT doc_id, excerpt, len(string_split(excerpt, '[outlet]')) - 1 AS n_named FROM e""")
+def q39b(spark, d):
+    """Excerpts of texts that name their outlet; names of four characters and fewer stay, as they are common words."""
+    e = marked(spark, d).select("doc_id", tx.blinded(F.col("text"), F.col("source")).alias("excerpt"))
+    return e.select("doc_id", "excerpt", (F.size(F.split("excerpt", r"\[outlet\]", -1)) - 1).cast("long").alias("n_named"))
+
+
 @query("q43_folds", "SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels")
 def q43(spark, d):
     from quillspark.functions.stats import pick_key
