@@ -99,8 +99,9 @@ def article_features(texts: DataFrame, words: DataFrame) -> DataFrame:
     Names are left out of the lexicon means and of the capitals; grammar words and the words that define the other
     features are left out of the means. An article without words has null for all but its counts.
     """
-    lex = made_lexicon(words)
-    rows = known(words, lex).join(sized(shouted_words(words, lex)), F.col("low") == F.col("shouted"), "left")
+    lex = stored(made_lexicon(words), "lexicon")
+    shout = stored(shouted_words(words, lex), "shouted")
+    rows = known(words, lex).join(sized(shout), F.col("low") == F.col("shouted"), "left")
     in_lexicon, k = F.col("term").isNotNull(), F.col("n") - F.col("n_names")
     content = ~F.col("low").isin(*EXCLUDED) & in_lexicon
     total = lambda ok: F.sum(F.when(ok, k).otherwise(0))
@@ -134,7 +135,7 @@ def q13b(spark, d):
   FROM tokens LEFT JOIN shout s ON low = s.word GROUP BY doc_id""")
 def q14(spark, d):
     words = stored(word_rows(spark, d), "word-rows")
-    shout = shouted_words(words, made_lexicon(words))
+    shout = stored(shouted_words(words, stored(made_lexicon(words), "lexicon")), "shouted")
     rows = words.join(sized(shout), F.col("low") == F.col("shouted"), "left")
     out = rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("shouted").isNotNull(), F.col("caps")).otherwise(0)).alias("shouts"))
     return out.select("doc_id", "n_tokens", F.col("shouts").alias("shouted"), F.round(F.col("shouts") / F.col("n_tokens"), 6).alias("caps_ratio"))
@@ -144,7 +145,7 @@ def q14(spark, d):
   SELECT doc_id, rank, term, n, n * arousal AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n * arousal DESC, term) AS INTEGER) AS rank FROM c) WHERE rank <= 8""")
 def q15(spark, d):
     words = stored(word_rows(spark, d), "word-rows")
-    c = known(words.select("doc_id", "low", (F.col("n") - F.col("n_names")).alias("n")).where("n > 0"), made_lexicon(words), "inner")
+    c = known(words.select("doc_id", "low", (F.col("n") - F.col("n_names")).alias("n")).where("n > 0"), stored(made_lexicon(words), "lexicon"), "inner")
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.col("n") * F.col("arousal")), "term")
     return c.withColumn("rank", F.row_number().over(w)).where("rank <= 8").select("doc_id", "rank", "term", "n", (F.col("n") * F.col("arousal")).alias("score"))
 
