@@ -255,14 +255,17 @@ def q38(spark, d):
     return m.select("measure", "hits", "n", r6(F.try_divide("hits", "n")).alias("value"), r6(lo).alias("lo"), r6(hi).alias("hi"))
 
 
-_RATE = lambda k: f"CAST('0x' || substr(md5(CAST(doc_id // {k + 2} AS VARCHAR) || '-c'), 1, 6) AS BIGINT) % 5"
+#: Coder k rates a label's quality and toxicity, 0 to 4, and slips by up to k - 1 from the scale's true place.
+_RATE = lambda k: f"least(4, greatest(0, 3 * quality + 1 - toxic + CAST('0x' || substr(md5(CAST(doc_id // {k + 2} AS VARCHAR) || '-c'), 1, 6) AS BIGINT) % {2 * k + 1} - {k}))"
 _PAIR = f"WITH x AS (SELECT {_RATE(0)} AS y, {_RATE(1)} AS p FROM labels), c AS (SELECT y, p, count(*) AS n FROM x GROUP BY ALL), r AS (SELECT y, sum(n) AS rn FROM c GROUP BY y), k AS (SELECT p, sum(n) AS cn FROM c GROUP BY p)"
 
 
 def coders(spark, d) -> DataFrame:
-    """Three made coders with scores 0 to 4."""
-    code = lambda k: (F.conv(F.substring(F.md5(F.concat(F.floor(F.col("doc_id") / (k + 2)).cast("string"), F.lit("-c"))), 1, 6), 16, 10).cast("long") % 5).alias(f"coder_{k + 1}")
-    return table(spark, d, "labels").select("doc_id", *[code(k) for k in range(3)])
+    """Three coders of the labels with scores 0 to 4: the first as labelled, the others with slips."""
+    code = lambda k: F.conv(F.substring(F.md5(F.concat(F.floor(F.col("doc_id") / (k + 2)).cast("string"), F.lit("-c"))), 1, 6), 16, 10).cast("long")
+    true = 3 * F.col("quality") + 1 - F.col("toxic")
+    rate = lambda k: F.least(F.lit(4), F.greatest(F.lit(0), true + code(k) % (2 * k + 1) - k)).alias(f"coder_{k + 1}")
+    return table(spark, d, "labels").select("doc_id", *[rate(k) for k in range(3)])
 
 
 @query("q38b_qwk", _PAIR + """ SELECT (SELECT CAST(sum(n) AS BIGINT) FROM c) AS n, round(1 - (SELECT sum((y - p) * (y - p) / 16.0 * n) FROM c) * (SELECT sum(n) FROM c) / (SELECT sum((y - p) * (y - p) / 16.0 * rn * cn) FROM r, k), 6) AS qwk,
