@@ -345,6 +345,14 @@ def test_ordinal_bootstrap_equals_serial_loop(spark):
     assert [(r.lo, r.hi) for r in got] == [pytest.approx(tuple(e), rel=1e-3) for e in ends.T] and got[0].converged == got[0].draws == 8
 
 
+@pytest.mark.parametrize("t", [-30.0, 0.01, 0.5, 1.0, 2.0, 12.7, 1000.0])
+def test_student_tail_equals_closed_forms(t):
+    from quillspark.functions.stats import student_tail
+
+    assert student_tail(t, 1) == pytest.approx(2 / math.pi * math.atan(1 / abs(t)), rel=1e-9)
+    assert student_tail(t, 2) == pytest.approx(2 / (2 + t * t + abs(t) * math.sqrt(2 + t * t)), rel=1e-9)
+
+
 def test_student_tail_and_rank_correlation(spark, tmp_path):
     from quillspark.functions.stats import student_tail
 
