@@ -16,6 +16,7 @@ from quillspark.functions.stats import pick_key
 from quillspark.sources.tables import removed, sized, stored
 
 from . import boosting as bo
+from . import logistic as lg
 from .sampling import grouped_folds
 
 
@@ -277,46 +278,30 @@ def word_weights(train: DataFrame, size: int, least: int):
     return lambda df: Normalizer(inputCol="i", outputCol="words").transform(idf.transform(damped(df))).drop("w", "c", "d", "i")
 
 
-def one_vs_rest(train: DataFrame, held: DataFrame, classes: int) -> DataFrame:
-    """Held-out rows with `c`, the class whose own logistic model is surest. Each model is balanced by weight, and penalised
-    as much as one row weighs. Both are (label, x, ...)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    size = {int(r.label): r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n, sure = sum(size.values()), []
-    for k in range(classes):
-        if not 0 < size.get(k, 0) < n:  # a class that the training rows lack, or have alone
-            sure.append(F.lit(1.0 if size.get(k) else -1.0))
-            continue
-        own = (F.col("label") == k).cast("double")
-        weight = F.when(F.col("label") == k, n / (2 * size[k])).otherwise(n / (2 * (n - size[k])))
-        fit = LogisticRegression(featuresCol="x", labelCol="own", weightCol="weight", regParam=1 / n, maxIter=50, standardization=False, probabilityCol=f"p{k}", predictionCol="", rawPredictionCol="")
-        held = fit.fit(train.select("x", own.alias("own"), weight.alias("weight"))).transform(held)
-        sure.append(F.element_at(vector_to_array(f"p{k}"), 2))
-    return held.withColumn("c", argmax(F.array(*sure)))
-
-
 def text_in_folds(df: DataFrame, text: str, label: str, group: str, dense: list[str], classes: int, folds: int = 3, size: int = 50_000, least: int = 5) -> DataFrame:
     """(features, g, y, c, n) of rows held out by group: logistic models on words, on dense features, and on both in one vector.
 
     Whatever is learned from data is learned once a fold, from its training groups: words and their document counts, means
     and deviations, class weights and models. label: a class from 0.
     """
-    from pyspark.ml.feature import VectorAssembler
-
+    df = df.where(F.col(label).isNotNull() & F.col(group).isNotNull())
     counts = [tuple(r) for r in df.groupBy(group, label).agg(F.count("*").alias("n")).orderBy(group, label).collect()]  # groups times classes
-    fold = df.sparkSession.createDataFrame(sorted(grouped_folds(counts, folds).items()), f"{group} {dict(df.dtypes)[group]}, fold int")
+    of = grouped_folds(counts, folds)
+    fold = df.sparkSession.createDataFrame(sorted(of.items()), f"{group} {dict(df.dtypes)[group]}, fold int")
     plain = F.regexp_replace(unaccented(F.lower(text)), r"[^\p{L}]+", " ")
-    rows = stored(df.join(sized(fold), group).select("fold", F.col(group).alias("g"), F.col(label).cast("double").alias("label"), plain.alias("t"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(dense)]), "text-folds")
-    out, dense = None, [f"x{i}" for i in range(len(dense))]
+    rows = stored(df.join(sized(fold), group).select("fold", F.col(group).alias("g"), F.col(label).cast("int").alias("y"), plain.alias("t"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(dense)]), "text-folds")
+    names = [f"x{i}" for i in range(len(dense))]
+    words, weights = lg.vocabulary(rows, folds, size, least)
+    z = [c.alias(f"z{f}_{i}") for f in range(folds) for i, c in enumerate(scaled(rows.where(F.col("fold") != f), names) if names else [])]
+    table = lg.blocks(rows.select("fold", "g", "y", "t", *z), [f"z{f}_{i}" for f in range(folds) for i in range(len(names))], words, weights)
+    removed(rows)
+    fits, alone, kinds = [], [], ["words", "both", "dense"]
     for f in range(folds):
-        train = rows.where(F.col("fold") != f)
-        weigh, z = word_weights(train, size, least), scaled(train, dense)
-        ready = stored(weigh(rows.select("fold", "g", "label", "t", *z)), "fold-features")
-        for kind, blocks in (("words", ["words"]), ("dense", dense), ("both", ["words", *dense])):
-            x = VectorAssembler(inputCols=blocks, outputCol="x").transform(ready)
-            got = one_vs_rest(x.where(F.col("fold") != f), x.where(F.col("fold") == f), classes)
-            part = got.groupBy(F.lit(kind).alias("features"), "g", F.col("label").cast("int").alias("y"), "c").agg(F.count("*").alias("n"))
-            out = part if out is None else out.unionAll(part)
-    return out
+        own = Counter()
+        for g, y, n in counts:
+            own[int(y)] += n * (of[g] != f)
+        known = [k for k in range(classes) if 0 < own[k] < sum(own.values())]  # not what the training rows lack, or have alone
+        alone.append([1.0 if own[k] else -1.0 for k in range(classes)])
+        models = [(kind, k) for kind in kinds for k in known]
+        fits.append(dict(zip(models, lg.fitted(table, f, folds, weights, len(names), models, own).T)) if models else {})
+    return lg.held_out(table, folds, weights, len(names), kinds, classes, fits, alone)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import boosting as bo
 from quillspark.operators import evaluation as ev
+from quillspark.operators import logistic as lg
 from quillspark.operators import mixed as mx
 from quillspark.operators import models as md
 from quillspark.operators import ordinal as od
@@ -220,6 +221,42 @@ def test_fold_features_come_from_training_rows_only(spark):
     assert own.size == 2 and sorted(own.toArray().tolist()) == pytest.approx(sorted([blue / size, red / size]))
 
 
+@pytest.mark.parametrize("sums", [32, 2])
+def test_models_of_a_fold_equal_single_models_in_shared_passes(spark, monkeypatch, sums):
+    """The coefficients are those of Spark's own model, one a class and set of features, from a few passes for all."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rng, names = np.random.default_rng(6), ["ab", "cd", "ef", "gh", "ij", "kl"]
+    rows = [(i % 3, f"g{i}", int(rng.integers(0, 3)), " ".join(rng.choice(names, rng.integers(0, 9))), float(rng.normal())) for i in range(150)]
+    df = spark.createDataFrame(rows, "fold int, g string, y int, t string, x double").repartition(5)
+    words, weights = lg.vocabulary(df, 3, 100, 2)
+    assert words.to_pylist() == names
+    train = [r for r in rows if r[0] != 1]
+    held = sum("cd" in r[3].split() for r in train)
+    assert weights[1, 1] == pytest.approx(math.log((len(train) + 1) / (held + 1)))
+    monkeypatch.setattr(lg, "SUMS", sums)
+    passes, summed = [], lg._summed
+    monkeypatch.setattr(lg, "_summed", lambda *a: passes.append(1) or summed(*a))
+    table = lg.blocks(df.select("fold", "g", "y", "t", "x", F.col("x").alias("a"), F.col("x").alias("b")), ["x", "a", "b"], words, weights)
+    size = {k: sum(r[2] == k for r in train) for k in range(3)}
+    models = [(kind, k) for kind in ("words", "both", "dense") for k in range(3)]
+    got = lg.fitted(table, 1, 3, weights, 1, models, size, tolerance=1e-10)
+    assert len(passes) < 60
+    n, data = len(train), []
+    for _, _, y, t, x in train:
+        c = np.array([t.split().count(w) for w in names])
+        v = np.where(c > 0, (1 + np.log(np.maximum(c, 1))) * weights[1], 0)
+        data.append((y, [*(v / (np.linalg.norm(v) or 1)).tolist(), x]))
+    for j, (kind, k) in enumerate(models):
+        on = {"words": slice(0, 6), "both": slice(0, 7), "dense": slice(6, 7)}[kind]
+        one = spark.createDataFrame([(float(y == k), n / (2 * (size[k] if y == k else n - size[k])), v[on]) for y, v in data], "label double, w double, v array<double>").coalesce(1)
+        fit = LogisticRegression(featuresCol="x", weightCol="w", regParam=1 / n, standardization=False, tol=1e-12, maxIter=500).fit(one.withColumn("x", array_to_vector("v")))
+        want = np.zeros(8)
+        want[:7][on], want[7] = fit.coefficients.toArray(), fit.intercept
+        assert np.abs(got[:, j] - want).max() < 2e-3
+
+
 def test_text_in_folds_finds_words(spark):
     rng = np.random.default_rng(4)
     words = [["alpha", "álpha beta"], ["gamma", "delta"], ["eta", "theta"]]
