@@ -30,6 +30,8 @@ from . import similar
 from .common import by_group, connected_components, prepare, row_of, written
 
 PIVOTS = 16
+#: Differing bits within which the pipeline's stage takes texts for near and compares their shingles.
+STAGE_RADIUS = 5
 TILE = 1024
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -72,13 +74,15 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3) -> Da
 def _marked(df: DataFrame, text_col: str, size: int) -> DataFrame:
     """(row, key): each row as a struct, with its fingerprint. Only texts go to Python, only fingerprints come back."""
     prepare(df.sparkSession)
+    return df.select(row_of(df.columns), _fingerprint_of(df[text_col], size).alias("key"))
 
+
+def _fingerprint_of(text, size: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(np.fromiter((fingerprint(x.as_py() or b"", size) for x in texts), np.uint64, len(texts)).view(np.int64))
 
-    key = F.arrow_udf(run, "long")(df[text_col].cast("string").cast("binary"))
-    return df.select(row_of(df.columns), key.alias("key"))
+    return F.arrow_udf(run, "long")(text.cast("string").cast("binary"))
 
 
 def _pivots() -> np.ndarray:
@@ -167,6 +171,14 @@ def links(nodes: DataFrame, radius: int = 3, bits: int = 64, tile: int = TILE) -
     return rows.select("id", "fp", "k", "v", "i", "j", "part").mapInArrow(run, "a long, b long")
 
 
+def near_pairs(nodes: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
+    """(a, b): pairs of keys that connect all nodes (key long, fp long) whose fingerprints lie within the radius. Keys with
+    equal fingerprints go to the smallest of them, which stands for them in the search by blocks and pivots."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("key").alias("id")).select("id", "fp"), "fingerprints")
+    equal = nodes.join(firsts, "fp").where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))
+    return equal.unionAll(links(firsts, radius))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int = 3) -> DataFrame:
     """(id long, fp long, component long): component is the smallest id reachable over links, the row's own included.
 
@@ -184,8 +196,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3, ra
 def kept(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int = 3, least: float | None = None) -> DataFrame:
     """The rows, as they are, that stand for their group: one row of each component, the one with the smallest id.
 
-    least: if given, rows link by the exact Jaccard similarity of their shingles (similar.py), not by fingerprints. Rows
-    are known by id and fingerprint (or code of the words): a null id comes after all others, so a row without an id stands
+    least: if given, texts whose fingerprints lie within STAGE_RADIUS are found by blocks and pivots, and link if the exact
+    Jaccard similarity of their shingles is at least that. As similar texts may differ in more bits, texts still apart are then
+    compared where they share a rare shingle (similar.py), so that no link is lost. Rows are known by id and fingerprint (or code of the words): a null id comes after all others, so a row without an id stands
     for its group only where no row has one; of rows with the same id, the smallest fingerprint stands first.
     """
     if least is None:
@@ -194,8 +207,12 @@ def kept(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int =
         found = connected_components(links(written(nodes, "nodes"), radius))
         parts = nodes.join(found, nodes.id == found.node, "left").select(F.col("fp").alias("key"), F.coalesce("component", "id").alias("component"))
     else:
-        marks = written(similar.marked(df, text_col, size, least), "marks")
-        parts = similar.components(marks, text_col, size, least)
+        prepare(df.sparkSession)
+        marks = similar.marked(df, text_col, size, least)
+        marks = written(marks.withColumn("fp", _fingerprint_of(F.col(f"row.`{text_col}`"), size)), "marks")
+        # the words of a key are the same, so is their fingerprint
+        near = near_pairs(written(marks.groupBy("key").agg(F.min("fp").alias("fp")), "nodes"))
+        parts = similar.components(marks, text_col, size, least, near=near)
     rows = marks.select(F.col(f"row.`{id_col}`").alias("id"), "key", "row")
     first = rows.join(parts, "key").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     first = written(first.select("first.id", "first.key"), "firsts")  # a component's first row, once each

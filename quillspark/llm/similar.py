@@ -227,8 +227,10 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(marks: DataFrame, text_col: str, size: int = SIZE, least: float = LEAST, tile: int = TILE, first: int = FIRST) -> DataFrame:
-    """(key, component): each key of marked rows, with the smallest key that it reaches over links."""
+def components(marks: DataFrame, text_col: str, size: int = SIZE, least: float = LEAST, tile: int = TILE, first: int = FIRST, near: DataFrame | None = None) -> DataFrame:
+    """(key, component): each key of marked rows, with the smallest key that it reaches over links.
+
+    near: if given, pairs (a, b) that are compared first, before any that share a shingle."""
     nodes = written(marks.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "nodes")
     texts = marks.select("key", F.col(f"row.`{text_col}`").cast("string").alias("t"))
     rows = marks.select("key", "prefix").dropDuplicates(["key"]).select("key", F.explode("prefix").alias("g"))
@@ -239,14 +241,24 @@ def components(marks: DataFrame, text_col: str, size: int = SIZE, least: float =
         parts = connected_components(edges)
         return nodes.select("key").join(parts, nodes.key == parts.node, "left").select("key", F.coalesce("component", "key").alias("component"))
 
-    few = candidates(rows.withColumn("component", F.col("key")), least, True, tile)
-    k = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
-    few = written(few.withColumn("k", k).where(F.col("k") <= first).select("a", "b"), "pairs")
-    few = written(narrowed(few, nodes, least), "pairs")
-    edges = written(verified(few, texts, size, least), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among at most `first` pairs of each key; the others come with all that is left."""
+        k = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
+        some = written(pairs.withColumn("k", k).where(F.col("k") <= first).select("a", "b"), "pairs")
+        close = written(narrowed(some, nodes, least), "pairs")
+        out = written(verified(close, texts, size, least), "links")
+        released(some, close)
+        return out
+
+    parts, edges = nodes.select("key", F.col("key").alias("component")), None
+    if near is not None:
+        edges = linked(near.where("a <> b").distinct())
+        parts = written(named(edges), "parts")
+    more = linked(candidates(rows.join(parts, "key"), least, True, tile))
+    edges = more if edges is None else edges.unionAll(more)
     parts = written(named(edges), "parts")
     rest = written(narrowed(candidates(rows.join(parts, "key"), least, False, tile), nodes, least), "pairs")
-    released(rows, few)
+    released(rows)
     if rest.limit(1).count():
         edges = edges.unionAll(written(verified(rest, texts, size, least), "links"))
         parts = written(named(edges), "parts")

@@ -73,6 +73,29 @@ def test_stage_drops_near_copies_that_differ_in_many_bits(spark, small):
     assert cp.drop_near_duplicates(spark, docs.limit(0), small).count() == 0
 
 
+def test_stage_links_by_fingerprints_and_pivots_first(spark, small, monkeypatch):
+    """Near texts are found by SimHash, blocks and pivots, and their shingles checked, before any that share a shingle meet."""
+    import corpus_pipeline as cp
+
+    texts = made()
+    own, codes = [grams(t) for t in texts], [simhash.fingerprint((t or "").encode(), 5) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (codes[i] ^ codes[j]).bit_count() <= simhash.STAGE_RADIUS]
+    assert any(alike(own[i], own[j]) and (codes[i] ^ codes[j]).bit_count() > 3 for i, j in near)
+    nodes = spark.createDataFrame([(i, int(np.uint64(c).astype(np.int64))) for i, c in enumerate(codes)], "key long, fp long")
+    name = list(range(len(texts)))
+    for r in simhash.near_pairs(nodes).collect():
+        assert (codes[r.a] ^ codes[r.b]).bit_count() <= simhash.STAGE_RADIUS
+        low, high = sorted((name[r.a], name[r.b]))
+        name = [low if x == high else x for x in name]
+    assert all(name[i] == name[j] for i, j in near)
+    order, links, candidates = [], simhash.links, similar.candidates
+    monkeypatch.setattr(simhash, "links", lambda *a: order.append(a[1]) or links(*a))
+    monkeypatch.setattr(similar, "candidates", lambda *a: order.append("shingles") or candidates(*a))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, small).collect()} == set(groups(texts))
+    assert order[0] == simhash.STAGE_RADIUS and order.count("shingles") == 2
+
+
 @pytest.mark.parametrize("how", [{}, {"size": 5, "least": 0.8}])
 def test_null_and_repeated_ids_lose_no_group(spark, how):
     far = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
