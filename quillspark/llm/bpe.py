@@ -17,7 +17,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import given_back, prepare
+from .common import given_back, held, prepare
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words, pieces and pairs that a worker keeps at hand (two generations of each); it drops them when its task ends.
@@ -305,9 +304,8 @@ class WordBPE:
         return " ".join([self.names[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
 def model(path: str) -> WordBPE:
-    return WordBPE(path)
+    return held(("bpe", path), lambda: WordBPE(path))
 
 
 class Cache:

@@ -76,6 +76,24 @@ def given_back() -> None:
         pass
 
 
+_HELD: dict = {}
+
+
+def held(name, make):
+    """What a Python worker keeps from task to task: one thing at a time, as the worker goes on to other operators' tasks."""
+    if name not in _HELD:
+        let_go()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def let_go() -> None:
+    """Drops what the worker keeps of an operator whose tasks are over."""
+    if _HELD:
+        _HELD.clear()
+        given_back()
+
+
 def row_of(columns: list[str]):
     """The columns as one struct, whatever their names hold; names that occur twice are ambiguous and an error."""
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in columns]).alias("row")

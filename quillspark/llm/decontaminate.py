@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coded, slices
-from .common import prepare, row_of
+from .common import given_back, held, prepare, row_of
 from .toxicity import normal
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -288,15 +288,9 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block: int) ->
         yield uuid.uuid4().hex, context.broadcast(held), weights
 
 
-_INDEX: dict[str, Index] = {}
-
-
 def _index(name: str, items, weights) -> Index:
     """A block's index, made once in a worker; another block's takes its place."""
-    if name not in _INDEX:
-        _INDEX.clear()
-        _INDEX[name] = Index(items.value, weights.value)
-    return _INDEX[name]
+    return held(("index", name), lambda: Index(items.value, weights.value))
 
 
 def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = SIMILARITY, block: int = 2000) -> DataFrame:
@@ -333,6 +327,7 @@ def kept(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
                     clean[[start + d for d in index.search(part, least)]] = False
                     start += len(part)
                 yield pa.array(clean)
+            given_back()
 
         return F.arrow_udf(run, "boolean")
 

@@ -59,14 +59,18 @@ def fingerprint(data: bytes, size: int = 3) -> int:
     return int(np.packbits(ones * 2 > k, bitorder="little").view("<u8")[0])
 
 
+def prints(texts: pa.Array, size: int) -> pa.Array:
+    """The texts' fingerprints, as signed integers."""
+    return pa.array(np.fromiter((fingerprint(x.as_py() or b"", size) for x in texts.cast(pa.binary())), np.uint64, len(texts)).view(np.int64))
+
+
 def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3) -> DataFrame:
     """(id long, fp long): the fingerprint's 64 bits as a signed integer."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py() or b"", size) for x in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), prints(b.column(1), size)], ["id", "fp"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "id long, fp long")
 
@@ -74,15 +78,12 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3) -> Da
 def _marked(df: DataFrame, text_col: str, size: int) -> DataFrame:
     """(row, key): each row as a struct, with its fingerprint. Only texts go to Python, only fingerprints come back."""
     prepare(df.sparkSession)
-    return df.select(row_of(df.columns), _fingerprint_of(df[text_col], size).alias("key"))
-
 
-def _fingerprint_of(text, size: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(np.fromiter((fingerprint(x.as_py() or b"", size) for x in texts), np.uint64, len(texts)).view(np.int64))
+            yield prints(texts, size)
 
-    return F.arrow_udf(run, "long")(text.cast("string").cast("binary"))
+    return df.select(row_of(df.columns), F.arrow_udf(run, "long")(df[text_col].cast("string").cast("binary")).alias("key"))
 
 
 def _pivots() -> np.ndarray:
@@ -207,9 +208,7 @@ def kept(df: DataFrame, id_col: str, text_col: str, size: int = 3, radius: int =
         found = connected_components(links(written(nodes, "nodes"), radius))
         parts = nodes.join(found, nodes.id == found.node, "left").select(F.col("fp").alias("key"), F.coalesce("component", "id").alias("component"))
     else:
-        prepare(df.sparkSession)
-        marks = similar.marked(df, text_col, size, least)
-        marks = written(marks.withColumn("fp", _fingerprint_of(F.col(f"row.`{text_col}`"), size)), "marks")
+        marks = written(similar.marked(df, text_col, size, least, prints), "marks")
         # the words of a key are the same, so is their fingerprint
         near = near_pairs(written(marks.groupBy("key").agg(F.min("fp").alias("fp")), "nodes"))
         parts = similar.components(marks, text_col, size, least, near=near)

@@ -19,7 +19,7 @@ results: null, empty and blank texts link to each other and to nothing else.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import coded, slices
-from .common import by_group, connected_components, given_back, prepare, released, row_of, written
+from .common import by_group, connected_components, given_back, let_go, prepare, released, row_of, written
 from .decontaminate import _mix, shingles, word_codes
 
 SIZE, LEAST = 5, 0.8
@@ -106,15 +106,17 @@ def common_shingles(df: DataFrame, text_col: str, size: int, sample: int = SAMPL
     return np.array([g for g, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
 
 
-def marked(df: DataFrame, text_col: str, size: int, least: float) -> DataFrame:
+def marked(df: DataFrame, text_col: str, size: int, least: float, prints: Callable[[pa.Array, int], pa.Array] | None = None) -> DataFrame:
     """(row, key, n, prefix, bits, wide): each row as a struct, the code of its words, its set's size, prefix, parities and
-    sketch."""
+    sketch. prints: if given, makes one more column, fp, of the texts in the same pass: a second Python step would hold a
+    second worker beside each task's own."""
     prepare(df.sparkSession)
     common = df.sparkSession.sparkContext.broadcast(common_shingles(df, text_col, size))
 
-    names = ["key", "n", "prefix", "bits", "wide"]
+    kinds = {"key": "long", "n": "int", "prefix": "array<long>", "bits": "binary", "wide": "binary"} | ({"fp": "long"} if prints else {})
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         yield from map(mark, batches)
         given_back()
 
@@ -122,10 +124,11 @@ def marked(df: DataFrame, text_col: str, size: int, least: float) -> DataFrame:
         found = [(k, len(s), prefix(s, least, *common.value), parities(s), sketch(s)) for k, s in sets(texts, size)]
         keys, n, firsts, bits, wide = zip(*found) if found else ((), (), (), (), ())
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), _signed(np.concatenate([*firsts, np.zeros(0, np.uint64)])))
-        return pa.StructArray.from_arrays([_signed(keys), pa.array(n, pa.int32()), lists, pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], names)
+        more = [prints(texts, size)] if prints else []
+        return pa.StructArray.from_arrays([_signed(keys), pa.array(n, pa.int32()), lists, pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), *more], list(kinds))
 
     # only texts go to Python and only marks come back; the rows wait in the JVM
-    marks = F.arrow_udf(run, "key long, n int, prefix array<long>, bits binary, wide binary")(df[text_col].cast("string"))
+    marks = F.arrow_udf(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))(df[text_col].cast("string"))
     return df.select(row_of(df.columns), marks.alias("mark")).select("row", "mark.*")
 
 

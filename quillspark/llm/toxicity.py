@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coded, slices
-from .common import labelled_sample, prepare, row_of
+from .common import given_back, labelled_sample, let_go, prepare, row_of
 
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, WIDE, HIDDEN = 1 << 13, 1 << 15, 8, 8
@@ -351,9 +351,11 @@ def kept(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", th
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         for texts in batches:
             found = [score_texts(shared.value, part)[0] for part in slices(texts)]
             yield pa.array(np.concatenate(found) if found else np.zeros(0))
+        given_back()
 
     rows = df.select(row_of(df.columns), F.arrow_udf(run, "double")(df[text_col].cast("string")).alias("score"))
     return rows.where(F.col("score") < threshold).select("row.*")

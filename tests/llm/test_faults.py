@@ -1,11 +1,12 @@
 """Cases that once crashed or lost something without an error."""
 
 import io
+import weakref
 
 import numpy as np
 import pytest
 
-from quillspark.llm import decontaminate, pii, simhash, topk, toxicity, warc
+from quillspark.llm import bpe, decontaminate, pii, simhash, topk, toxicity, warc
 
 
 def test_cut_archives_are_an_error(spark):
@@ -78,3 +79,16 @@ def test_op8_words_of_all_letters():
     ids, ends = ids_of(pa.array(texts), library, 1)
     for text, start, end in zip(texts, [0, *ends.tolist()], ends.tolist()):
         assert ids[start:end].tolist() == [*library.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_workers_keep_one_operators_tables_at_a_time(spark):
+    """A worker outlives its tasks: what it keeps for one stage of the pipeline goes when another stage's takes its place."""
+    benchmark = spark.createDataFrame([(1, "five words stand in this benchmark item, or a few more")], "item_id long, text string")
+    block = next(decontaminate._blocks(benchmark, "item_id", "text", 2000))
+    path = bpe.default_vocabulary()
+    index = weakref.ref(decontaminate._index(*block))
+    assert index() is not None and decontaminate._index(*block) is index()
+    model = weakref.ref(bpe.model(path))
+    assert index() is None and bpe.model(path) is model()
+    decontaminate._index(*block)
+    assert model() is None

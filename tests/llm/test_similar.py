@@ -104,3 +104,20 @@ def test_null_and_repeated_ids_lose_no_group(spark, how):
     kept = simhash.kept(df, "doc_id", "text", **how)
     assert kept.columns == df.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, far[0], 1), (None, far[1], 2), (7, far[2], 3), (7, far[3], 4), (8, far[4], 5)], key=str)
+
+
+def test_stage_holds_one_python_worker_a_task(spark, monkeypatch):
+    """Marks and fingerprints come from one Python step: each further one holds a worker more beside every task's own."""
+    texts, plans = made(), {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, name)
+
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", noted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.kept(df, "doc_id", "text", size=5, least=0.8).collect()} == set(groups(texts))
+    assert plans["marks"].count("ArrowEvalPython") == 1
+    got = similar.marked(df, "text", 5, 0.8, simhash.prints).select("row.text", "fp").collect()
+    assert len(got) == len(texts) and all(r.fp % (1 << 64) == simhash.fingerprint((r.text or "").encode(), 5) for r in got)
