@@ -148,28 +148,37 @@ def links(nodes: DataFrame, radius: int = 3, bits: int = 64, tile: int = TILE) -
     bits_of = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftleft(bits_of[x], 32).bitwiseOR(bits_of[y]).alias("v")) for k, (x, y) in enumerate(combinations(range(blocks), 2))])
     rows = nodes.select("id", "fp", F.explode(keys).alias("key")).select("id", "fp", "key.k", "key.v")
-    met = rows.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(met, ["k", "v"]).withColumn("s", F.ceil(F.col("n") / tile).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
-    rows = rows.select("id", "fp", "k", "v", "own", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
+    columns = ["id", "fp", "k", "v", "i", "j", "part"]
+    large = rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    large = written(large.select("k", "v", F.ceil(F.col("n") / tile).cast("int").alias("s")), "large")
+    # a value of few fingerprints is one task's, and its rows are sent once; one of many is cut
+    few = rows.join(large, ["k", "v"], "left_anti").withColumns({"i": F.lit(0), "j": F.lit(0), "part": F.lit(-1)}).select(columns)
+    few = few.repartition("k", "v").sortWithinPartitions("k", "v")
+    rows = rows.join(large, ["k", "v"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     part = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))  # two tiles compare across only
-    rows = rows.select("id", "fp", "k", "v", part.alias("part"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     # a row whose own tile is i comes to every pair of tiles that has i
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "part": part}).select(columns)
     rows = rows.repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ["k", "v", "i", "j"]):
             cols = [t.column(c).to_numpy() for c in ("k", "v", "i", "j")]
-            change = np.zeros(t.num_rows, np.int64)
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
-            ids = t.column("id").to_numpy()
-            found = forest(t.column("fp").to_numpy().view(np.uint64), np.cumsum(change), radius, t.column("part").to_numpy())
+            change = np.ones(t.num_rows + 1, bool)
+            change[1:-1] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+            met = np.flatnonzero(~(change[:-1] & change[1:]))  # what stands alone meets nothing
+            if not len(met):
+                continue
+            ids, fp, part = (t.column(c).to_numpy()[met] for c in ("id", "fp", "part"))
+            found = forest(fp.view(np.uint64), np.cumsum(change[:-1])[met], radius, part)
             if found:
                 pairs = ids[np.array(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return rows.select("id", "fp", "k", "v", "i", "j", "part").mapInArrow(run, "a long, b long")
+    pairs = few.mapInArrow(run, "a long, b long")
+    if large.limit(1).count():
+        pairs = pairs.unionAll(rows.mapInArrow(run, "a long, b long"))
+    return pairs
 
 
 def near_pairs(nodes: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:

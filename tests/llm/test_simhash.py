@@ -84,3 +84,16 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5, 5), (500, 400)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 400: 400, 500: 400}
+
+
+def test_only_values_of_many_fingerprints_are_dealt_to_pairs_of_tiles(spark):
+    """Other rows are sent once, however many meet: copies of a row grow with the size of its own group, past a tile."""
+    rng = np.random.default_rng(3)
+    fps = np.unique(np.concatenate([rng.integers(0, 2**63, 300), np.int64(7) + (np.arange(60, dtype=np.int64) << 40)]))
+    nodes = spark.createDataFrame([(x, x) for x in fps.tolist()], "id long, fp long")
+    dealt = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("explode(sequence(")
+    assert dealt(simhash.links(nodes)) == 0 and dealt(simhash.links(nodes, tile=8)) == 1
+    want = components(fps.tolist(), fps.tolist())
+    for tile in (8, 1024):
+        found = connected_components(simhash.links(nodes, tile=tile)).collect()
+        assert {x: x for x in fps.tolist()} | {r.node: r.component for r in found} == want
